@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .op01_tool_calls import link_tool_calls
 from .op02_secrets import find_secrets
 from .op03_sentencepiece import encode_decode
 from .op04_jaccard_join import jaccard_components
+from .op05_licenses import duck_sql, find_licenses
 from .op06_quality_rules import ledger, passes
 from .op07_packing import pack
 from .op08_embedding_dedup import near_duplicates
@@ -32,6 +34,11 @@ def query(sql: str | None = None):
     return put
 
 
+@query()
+def op1_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_tool_calls(table(spark, sf_dir, "conversations"))
+
+
 @query()
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = find_secrets(table(spark, sf_dir, "documents"))
@@ -52,6 +59,13 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnRenamed("id", "doc_id")
 
 
+@query(duck_sql())
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = find_licenses(table(spark, sf_dir, "documents"))
+    ids = F.array_join(F.col("sentence_ids").cast("array<string>"), ",")
+    return out.select(F.col("id").alias("doc_id"), F.size("sentence_ids").cast("long").alias("n_sentences"), ids.alias("sentence_ids"), F.array_join("licenses", ",").alias("licenses"))
+
+
 @query(r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
     list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS l FROM documents),
