@@ -5,6 +5,129 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from partweave.functions.text import digest
+from partweave.operators import diff as D
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str):
+    def put(f):
+        QUERIES[f.__name__] = f
+        ORACLES[f.__name__] = sql
+        return f
+
+    return put
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two derived revisions of ``part``, compared."""
+    part = _t(spark, sf_dir, "part")
+    mpn = "concat(p_brand, '-', p_partkey)"
+    old = part.where("p_partkey % 10 <> 3").selectExpr(f"{mpn} AS mpn", "p_type AS refdes", "p_size AS qty", "p_name AS description", "p_partkey + 2 AS line")
+    new = part.where("p_partkey % 10 <> 7").selectExpr(
+        f"if(p_partkey % 5 = 0, concat(' ', lower({mpn})), {mpn}) AS mpn", "p_type AS refdes", "if(p_partkey % 6 = 0, p_size + 1, p_size) AS qty",
+        "if(p_partkey % 8 = 0, concat(p_name, ' x'), p_name) AS description", "p_partkey + 2 AS line",
+    )
+    return D.diff(old, new)
+
+
+_CTE = """WITH a AS (SELECT p_brand || '-' || p_partkey AS mpn, p_type AS refdes, p_size AS qty, p_name AS description, p_partkey + 2 AS line FROM part WHERE p_partkey % 10 <> 3),
+b AS (SELECT CASE WHEN p_partkey % 5 = 0 THEN ' ' || lower(p_brand || '-' || p_partkey) ELSE p_brand || '-' || p_partkey END AS mpn, p_type AS refdes,
+  CASE WHEN p_partkey % 6 = 0 THEN p_size + 1 ELSE p_size END AS qty, CASE WHEN p_partkey % 8 = 0 THEN p_name || ' x' ELSE p_name END AS description, p_partkey + 2 AS line FROM part WHERE p_partkey % 10 <> 7),
+ka AS (SELECT *, upper(trim(mpn)) AS k FROM a QUALIFY row_number() OVER (PARTITION BY upper(trim(mpn)) ORDER BY line) = 1),
+kb AS (SELECT *, upper(trim(mpn)) AS k FROM b QUALIFY row_number() OVER (PARTITION BY upper(trim(mpn)) ORDER BY line) = 1),
+d AS (SELECT coalesce(ka.k, kb.k) AS k, CASE WHEN kb.k IS NULL THEN 'removed' WHEN ka.k IS NULL THEN 'new'
+  WHEN ka.qty <> kb.qty OR upper(trim(ka.description)) <> upper(trim(kb.description)) OR upper(trim(ka.refdes)) <> upper(trim(kb.refdes)) THEN 'modified' ELSE 'unchanged' END AS status,
+  ka.mpn AS old_mpn, ka.refdes AS old_refdes, ka.qty AS old_qty, ka.description AS old_description, ka.line AS old_line,
+  kb.mpn AS new_mpn, kb.refdes AS new_refdes, kb.qty AS new_qty, kb.description AS new_description, kb.line AS new_line,
+  coalesce(upper(trim(ka.refdes)) <> upper(trim(kb.refdes)), false) AS refdes_changed, coalesce(ka.qty <> kb.qty, false) AS qty_changed,
+  coalesce(upper(trim(ka.description)) <> upper(trim(kb.description)), false) AS description_changed FROM ka FULL OUTER JOIN kb ON ka.k = kb.k) """
+
+
+@query(_CTE + "SELECT status, count(*) AS n FROM d GROUP BY 1")
+def diff_summary(spark, sf_dir):
+    return D.summary(_diff(spark, sf_dir))
+
+
+@query(_CTE + "SELECT * FROM d")
+def diff_rows(spark, sf_dir):
+    return _diff(spark, sf_dir)
+
+
+def _bucket(status: str) -> None:
+    def run(spark, sf_dir):
+        return _diff(spark, sf_dir).where(F.col("status") == status)
+
+    run.__name__ = f"diff_{status}"
+    query(_CTE + f"SELECT * FROM d WHERE status = '{status}'")(run)
+
+
+for _status in ("new", "removed", "modified", "unchanged"):
+    _bucket(_status)
+
+
+@query(_CTE + "SELECT count(*) AS n, round(100.0 * sum(CASE WHEN status = 'unchanged' THEN 1 ELSE 0 END) / count(*), 1) AS match_rate FROM d")
+def match_rate(spark, sf_dir):
+    return D.match_rate(_diff(spark, sf_dir))
+
+
+@query("SELECT upper(trim(p_name)) AS k, count(*) AS occurrences, array_to_string(list(p_partkey ORDER BY p_partkey), ',') AS lines FROM part GROUP BY 1 HAVING count(*) > 1 AND k <> ''")
+def duplicate_keys(spark, sf_dir):
+    out = D.duplicates(_t(spark, sf_dir, "part"), "p_name", "p_partkey")
+    return out.withColumn("lines", F.array_join(F.col("lines").cast("array<string>"), ","))
+
+
+@query("SELECT * FROM part QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY p_size, p_partkey) = 1")
+def first_row_per_key(spark, sf_dir):
+    return D.first_per_key(_t(spark, sf_dir, "part"), ["p_brand"], ["p_size", "p_partkey"])
+
+
+@query("SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders")
+def key_except(spark, sf_dir):
+    return _t(spark, sf_dir, "customer").selectExpr("c_custkey AS k").subtract(_t(spark, sf_dir, "orders").select("o_custkey"))
+
+
+@query("SELECT c_custkey AS k FROM customer INTERSECT SELECT o_custkey FROM orders")
+def key_intersect(spark, sf_dir):
+    return _t(spark, sf_dir, "customer").selectExpr("c_custkey AS k").intersect(_t(spark, sf_dir, "orders").select("o_custkey"))
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem)")
+def key_semi(spark, sf_dir):
+    li = _t(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("p_partkey"))
+    return _t(spark, sf_dir, "part").select("p_partkey", "p_name").join(li, "p_partkey", "left_semi")
+
+
+@query("SELECT c_custkey, c_name FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c.c_custkey)")
+def key_anti(spark, sf_dir):
+    o = _t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    return _t(spark, sf_dir, "customer").select("c_custkey", "c_name").join(o, "c_custkey", "left_anti")
+
+
+@query("SELECT sha256(coalesce(text, '')) AS sha, min(doc_id) AS doc_id, count(*) AS n FROM documents GROUP BY 1")
+def content_dedupe_sha(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").groupBy(digest("text").alias("sha")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
+
+
+@query("SELECT event_id, user_id, last_value(CASE WHEN event_id % 3 = 0 THEN event_type END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS filled FROM events")
+def forward_fill(spark, sf_dir):
+    e = _t(spark, sf_dir, "events").select("event_id", "user_id", F.expr("CASE WHEN event_id % 3 = 0 THEN event_type ELSE '' END").alias("v"))
+    return D.forward_fill(e, "v", ["user_id"], ["event_id"]).select("event_id", "user_id", "filled")
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'a') AND contains(lower(p_type), 'b')")
+def search_filter(spark, sf_dir):
+    return _t(spark, sf_dir, "part").where("contains(lower(p_name), 'a') AND contains(lower(p_type), 'b')").select("p_partkey", "p_name")
+
+
+@query("SELECT l_suppkey, count(*) AS n_lines, count(DISTINCT l_partkey) AS n_parts FROM lineitem GROUP BY 1")
+def supplier_parts(spark, sf_dir):
+    return _t(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.count("*").alias("n_lines"), F.countDistinct("l_partkey").alias("n_parts"))
