@@ -126,11 +126,12 @@ def test_quality(docs):
         assert (a["n_rows"], a["n_failed"], a["n_only"]) == (len(fails), sum(bool(f & bit) for f in fails), sum((f & 3) == bit for f in fails))
 
 
-def test_packing(docs):
+@pytest.mark.parametrize("ranks", [None, public_tokenizers.path("byte_bpe_50k.tiktoken")])
+def test_packing(docs, ranks):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(BPE)
-    rows = pack(docs, BPE).collect()
+    rows = pack(docs, BPE, ranks=ranks).collect()
     by_doc, by_seq = {}, {}
     for r in rows:
         by_doc.setdefault(r["id"], []).append(r)
