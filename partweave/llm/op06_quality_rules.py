@@ -32,7 +32,8 @@ POLICIES = {
     "v1": tuple(RULES),
 }
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
-GAP = r"[\\x20\\x09-\\x0D]+"
+GAP = r"[\x20\x09-\x0D]+"
+SPACE = " \t\n\x0b\x0c\r"
 
 
 def mask(policy: str) -> int:
@@ -44,24 +45,24 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carr
     kept = [F.col(c).alias(f"carry_{k}") for k, c in enumerate(carry)]
     names = [f"carry_{k}" for k in range(len(carry))]
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"), *kept)
+    bare = F.btrim("t", F.lit(SPACE))
     d = d.select(
         "id",
         *names,
-        F.expr(f"filter(split(t, '{GAP}'), w -> w <> '')").alias("w"),
+        F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, GAP)).alias("w"),
         F.expr(r"filter(split(t, '\n'), l -> l rlike '[^\\x20\\x09-\\x0D]')").alias("lines"),
-        F.expr(f"cast(length(regexp_replace(t, '{GAP}', '')) AS long)").alias("word_chars"),
-        F.expr("cast(length(t) - length(translate(t, '#*$%&|<>', '')) AS long)").alias("n_symbols"),
+        F.expr("cast(regexp_count(t, '[#*$%&|<>]') AS long)").alias("n_symbols"),
     )
     d = d.select(
-        "id", *names, "word_chars", "n_symbols",
+        "id", *names, "w", "n_symbols",
+        F.expr("cast(length(array_join(w, '')) AS long)").alias("word_chars"),
         F.expr("cast(size(w) AS long)").alias("n_words"),
         F.expr("cast(size(lines) AS long)").alias("n_lines"),
         F.expr("cast(size(lines) - size(array_distinct(lines)) AS long)").alias("n_dup_lines"),
         F.expr("transform(w, x -> xxhash64(x))").alias("h"),
-        F.expr("transform(w, x -> hash(x))").alias("g"),
     )
     at = ", ".join(f"h[i + {k}]" for k in range(5))
-    other = ", ".join(f"g[i + {k}]" for k in range(5))
+    other = ", ".join(f"w[i + {k}]" for k in range(5))
     d = d.withColumn("v", F.expr(f"CASE WHEN n_words >= 5 THEN transform(sequence(0, cast(n_words AS int) - 5), i -> xxhash64({at})) END"))
     again = f"array_sort(transform(v, (x, i) -> struct(x AS x, hash({other}) AS y, i AS i)))"
     d = d.withColumn("s", F.expr(f"CASE WHEN size(array_distinct(v)) < size(v) THEN {again} END"))
