@@ -10,10 +10,14 @@ Documents are compared by their sets of distinct word shingles; two link when
    the ``l`` with the least estimated cost (index rows plus expected false candidates), and a pair is
    a candidate only when it shares ``min(l1, l2)`` prefix tokens.
 4. Tokens of few classes emit pairs; the shared tokens of a pair are counted and pairs below their
-   required number are dropped.  What remains is grouped (components of candidate pairs) and every
-   group is verified on whole sets, in square blocks, so a class travels once per block.
-5. A token of many classes emits no pairs: its classes are verified against each other directly, in
-   the same square blocks spread over tasks.
+   required number are dropped.  What remains is grouped (components of candidate pairs).  A token of
+   many classes emits no pairs: its classes are a group.  Tokens whose classes share the least hash, so mostly
+   tokens of about the same classes, make one group of all their classes.
+5. Groups are verified on whole sets in two passes.  The first deals a group's classes to blocks, each
+   with two pivots of the group, and compares all of a block; rows grow with the group, not its square,
+   and most of a group of near copies joins up through the pivots.  The second takes the classes outside
+   the group's largest component and compares them with all classes of the group, in rectangular blocks.
+   Two classes are left uncompared only when they are in one component already.
 6. Blocks report only the links that join something new within the block, and the connected
    components of those links are the result.  No link is lost: a verified pair of classes is always
    inside the component its block reports.
@@ -39,8 +43,9 @@ from .words import chunks, digest, shingle_sets
 SKETCH_BITS = 20
 CHUNK = 4096
 FEW = 32  # a token in at most so many classes emits its pairs
-BLOCK = 128  # classes on each side of a verification block
+BLOCK = 128  # classes of a block, or on each side of a rectangular one
 MOST_MATCHES = 8
+SALTS = 16  # parts into which the classes of a group are dealt when looking up what holds for the group
 REMEMBERED = 200_000  # digests a task remembers to skip its own copies; more copies only cost time
 
 
@@ -215,21 +220,29 @@ def linked(sets: list[np.ndarray], split: int, percent: int) -> list[tuple[int,
     return out
 
 
-def _verify(percent: int):
+def _verify(percent: int, all_pairs: bool):
+    """Spanning links of a block: among all its classes, or of side 0 with side 1 (a class may be on both)."""
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("key").sort_values(["side", "key"], kind="stable")
+        pdf = pdf.drop_duplicates("key" if all_pairs else ["side", "key"]).sort_values(["side", "key"], kind="stable")
         keys = pdf["key"].to_numpy()
         sets = [np.frombuffer(b, np.uint64) for b in pdf["tokens"]]
-        split = 0 if (pdf["i"].iloc[0] == pdf["j"].iloc[0]) else int((pdf["side"] == 0).sum())
-        if split == len(sets) or len(sets) < 2:
+        split = int((pdf["side"] == 0).sum())
+        if len(sets) < 2 or (not all_pairs and split in (0, len(sets))):
             pairs = []
         else:
-            pairs = linked(sets, split, percent)
+            pairs = linked(sets, 0 if all_pairs else split, percent)
         return pd.DataFrame({"a": np.array([keys[i] for i, _ in pairs], np.int64), "b": np.array([keys[j] for _, j in pairs], np.int64)})
 
     return run
 
 
+def _of_group(member: DataFrame, facts: DataFrame, how: str) -> DataFrame:
+    """Members with what ``facts`` says of their group; a group's members are dealt by salt, not to one task."""
+    spread = facts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return member.withColumn("salt", F.expr(f"cast(pmod(xxhash64(key, 11), {SALTS}) AS int)")).join(spread, ["kind", "grp", "salt"], how).drop("salt")
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """-> ``(id, n_shingles, component_id)``, a row for each row of ``docs``; see the module's text.
 
@@ -249,7 +262,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     lists = index.groupBy("token").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo < hi").select("token")
     live = scratch.table(index.join(lists, "token").distinct(), "live")
     scratch.drop("index")
-    size = live.groupBy("token").agg(F.count("*").alias("size"))
+    size = live.groupBy("token").agg(F.count("*").alias("size"), F.min(F.xxhash64("key")).alias("least"))
 
     few = live.join(size.where(F.col("size") <= FEW), "token")
     pairs = (
@@ -262,19 +275,35 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     )
     groups = components(pairs, scratch, "candidates")
     cold = groups.select(F.col("component").alias("grp"), "node").union(groups.select("component", "component")).distinct().select(F.lit(0).alias("kind"), "grp", F.col("node").alias("key"))
-    hot = live.join(size.where(F.col("size") > FEW), "token").select(F.lit(1).alias("kind"), F.col("token").alias("grp"), "key")
+    hot = live.join(size.where(F.col("size") > FEW), "token").select(F.lit(1).alias("kind"), F.col("least").alias("grp"), "key").distinct()
     member = scratch.table(cold.union(hot), "members")
-    blocks = member.groupBy("kind", "grp").agg(F.expr(f"cast(ceil(count(*) / {BLOCK}) AS int)").alias("nb"))
-    placed = member.join(blocks, ["kind", "grp"]).withColumn("i0", F.expr("cast(pmod(xxhash64(key, 7), nb) AS int)")).withColumn("k", F.explode(F.expr("sequence(0, nb - 1)")))
-    placed = placed.select("kind", "grp", "key", F.least("i0", "k").alias("i"), F.greatest("i0", "k").alias("j"), F.expr("cast(i0 > k AS int)").alias("side"))
-
     wanted = member.select("key").distinct().join(classes, "key").where("rep IS NOT NULL").select("key", F.col("rep").alias("id"))
     sets = docs.join(wanted, "id").select("key", "text").mapInPandas(_sets(width), "key long, tokens binary")
     sets = scratch.table(sets, "sets")
-    links = placed.join(sets, "key").groupBy("kind", "grp", "i", "j").applyInPandas(_verify(percent), "a long, b long")
-    links = scratch.table(links, "links")
+
+    group = member.groupBy("kind", "grp").agg(F.count("*").alias("m"), F.min("key").alias("lo"), F.max("key").alias("hi"))
+    large = scratch.table(group.where(F.col("m") > BLOCK).withColumn("nb", F.expr(f"cast(ceil(m / {BLOCK}) AS int)")), "large")
+    at = ["kind", "grp", "i", "j"]
+    own = _of_group(member, large.select("kind", "grp", "nb"), "left").select("kind", "grp", "key", F.expr("cast(coalesce(pmod(xxhash64(key, 7), nb), 0) AS int)").alias("i"))
+    pivots = large.select("kind", "grp", F.explode(F.array("lo", "hi")).alias("key"), "nb").select("kind", "grp", "key", F.explode(F.expr("sequence(0, nb - 1)")).alias("i"))
+    first = own.union(pivots).select("*", F.col("i").alias("j"), F.lit(0).alias("side"))
+    links = scratch.table(first.join(sets, "key").groupBy(*at).applyInPandas(_verify(percent, True), "a long, b long"), "links")
     joined = components(links, scratch, "links_cc")
 
+    of = _of_group(member, large.select("kind", "grp", "nb"), "inner").join(joined.select(F.col("node").alias("key"), "component"), "key", "left")
+    of = scratch.table(of.select("kind", "grp", "key", "nb", F.coalesce("component", "key").alias("part")), "parts")
+    parts = of.groupBy("kind", "grp", "part").agg(F.count("*").alias("m"))
+    rest = parts.groupBy("kind", "grp").agg(F.max_by("part", F.struct("m", "part")).alias("main"), (F.sum("m") - F.max("m")).alias("left"))
+    rest = scratch.table(rest.where("left > 0").select("kind", "grp", "main", F.expr(f"cast(ceil(left / {BLOCK}) AS int)").alias("nr")), "rest")
+    if not rest.isEmpty():
+        open_ = _of_group(of, rest, "inner")
+        i, j = F.expr("cast(pmod(xxhash64(key, 5), nr) AS int)").alias("i"), F.expr("cast(pmod(xxhash64(key, 7), nb) AS int)").alias("j")
+        rows_ = open_.where("part <> main").select("kind", "grp", "key", i, F.explode(F.expr("sequence(0, nb - 1)")).alias("j"), F.lit(0).alias("side"))
+        columns = open_.select("kind", "grp", "key", F.explode(F.expr("sequence(0, nr - 1)")).alias("i"), j, F.lit(1).alias("side"))
+        more = rows_.union(columns).join(sets, "key").groupBy(*at).applyInPandas(_verify(percent, False), "a long, b long")
+        links = scratch.table(links.union(more), "all_links")
+        joined = components(links, scratch, "all_links_cc")
+
     mine = classes.join(joined.select(F.col("node").alias("key"), "component"), "key", "left")
     named = mine.withColumn("grp", F.coalesce("component", "key")).select("digest", "grp", "rep")
     low = named.groupBy("grp").agg(F.min("rep").alias("component_id"))

@@ -13,6 +13,7 @@ import pytest
 from partweave.llm.op01_tool_calls import link_tool_calls
 from partweave.llm.op02_secrets import find_secrets, redact_secrets
 from partweave.llm.op03_sentencepiece import encode_decode
+from partweave.llm import op04_jaccard_join as op04
 from partweave.llm.op04_jaccard_join import jaccard_components
 from partweave.llm.op05_licenses import RULES, SENTENCES, find_licenses
 from partweave.llm.op06_quality_rules import ablation, ledger
@@ -98,6 +99,23 @@ def test_jaccard(spark, width, percent):
     assert got == plain_components(rows, width, percent)
 
 
+def test_jaccard_large_groups(spark, monkeypatch):
+    """Groups of several blocks, with members that do not link to the rest, in both passes."""
+    monkeypatch.setattr(op04, "FEW", 3)
+    monkeypatch.setattr(op04, "BLOCK", 6)
+    rng = random.Random(4)
+    shared = [f"w{k}" for k in range(40)]
+    rows = [(900, None), (901, ""), (902, "w1")]
+    for i in range(60):
+        c = list(shared)
+        for _ in range(rng.choice((0, 0, 1, 1, 2, 4))):
+            c[rng.randrange(len(c))] = f"x{rng.randint(0, 9)}"
+        rows.append((i, " ".join(c + [f"y{i % 7}"] * rng.choice((0, 0, 3)))))
+    for width, percent in ((3, 90), (3, 70), (5, 80)):
+        got = {r["id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), width=width, percent=percent).collect()}
+        assert got == plain_components(rows, width, percent)
+
+
 def test_licenses(spark):
     full = [" ".join(SENTENCES[k].rstrip(":") + ".\n" for k in ids) for _, ids in RULES]
     rows = list(enumerate([None, "", "nothing here", *full, "Prose. Released under the MIT License. More."]))
