@@ -1,31 +1,28 @@
 """Main text of web pages by wrapper induction.
 
 1. Pages are parsed to trees of elements; a run of like siblings without children is one repeated node.
-2. Of each host four bounded exemplars with different trees are kept (the least hash of each quarter,
-   by a partial aggregation over all pages; no host is ever gathered).
-3. The exemplars of a host are aligned by simple tree matching: nodes aligned in all of them with equal
-   text are the template, nodes whose text differs are slots.
-4. Every page is aligned with the wrapper of its host.  Text of template nodes and of page furniture
-   (``FURNITURE``, ``FURNITURE_WORDS``) goes; slots and nodes the wrapper does not know are content.
-   Where a page marks its article, content comes from there, and prose inside it (headings, paragraphs,
-   items, cells) is kept even when equal on all exemplars, as an article may be quoted by a whole host.
+2. All pages of a host are counted: per node path (the signatures from the root) the texts of nodes that
+   stand on every page with that path are its template.  Each task keeps the texts common to its pages and the
+   tasks are combined by counts, so no page is left out and no host is gathered.
+3. Paths are counted twice: over the host, and over the pages of one layout (the containers below the
+   body), so layouts of a host do not hide one another's template.  A layout, and prose of an article
+   (headings, paragraphs, items, cells), need ``FEW`` pages; other texts need two different pages.
+4. Template texts and page furniture (``FURNITURE``, ``FURNITURE_WORDS``) go, other texts are content.
+   Where a page marks its article outside furniture, content comes from there.
 
 Wrappers are joined by broadcast when their measured size is small, otherwise by a salted shuffle.
 
-Defined cases: null or empty html gives an empty text; null urls share no wrapper; a host with one known
-tree has no template; equal ids stay apart; an empty table gives an empty result.
+Defined cases: null or empty html gives an empty text; null urls share no wrapper; a host whose pages are
+all the same has no template; equal ids stay apart; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
-import json
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 from html.parser import HTMLParser
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -49,8 +46,8 @@ FURNITURE_ROLES = frozenset("alert banner complementary contentinfo dialog form
 P_ENDS = BLOCK - {"html", "body", "td", "th", "li", "dd", "dt"}
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table", "tbody", "thead", "tfoot"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 DEEPEST = 60  # deeper elements become siblings at this depth
-WIDE = 200  # children of one node that are aligned pairwise; wider nodes are aligned by their order
-EXEMPLARS = 4
+FEW = 4  # pages that tell the template of a layout, or of article prose
+HELD = 200_000  # texts held by a task before it hands on what its pages have in common
 SMALL = 32 << 20
 SALTS = 32
 
@@ -119,7 +116,7 @@ class _Tree(HTMLParser):
         node = Node(tag, f"{tag}.{(got.get('class') or '').strip().lower()}", out)
         parent = self.stack[-1]
         parent.kids.append(node)
-        if tag in ("article", "main"):
+        if tag in ("article", "main") and not out and not any(n.out for n in self.stack):
             self.articles += 1
         if len(self.stack) < DEEPEST:
             self.stack.append(node)
@@ -176,126 +173,88 @@ def _fold(node: Node) -> None:
             node.kids.append(k)
 
 
-def _hash(texts: list[str]) -> str:
-    return hashlib.blake2b("\n".join(texts).encode("utf-8", "surrogatepass"), digest_size=8).hexdigest() if texts else ""
-
-
-def plain(node: Node) -> list:
-    """[signature, hash of its text, children]: what alignment needs."""
-    return [node.sig, _hash(node.texts), [plain(k) for k in node.kids]]
-
-
-def match(a: list, b: list, memo: dict) -> tuple[int, list]:
-    """Simple tree matching: the size of the greatest order-preserving match, and the matched children."""
-    key = id(a), id(b)
-    if key in memo:
-        return memo[key]
-    if a[0] != b[0]:
-        memo[key] = 0, []
-        return memo[key]
-    x, y = a[2], b[2]
-    if len(x) * len(y) > WIDE * WIDE:  # too wide for pairwise alignment: by order among equal signatures
-        places: dict[str, list] = {}
-        for j, k in enumerate(y):
-            places.setdefault(k[0], []).append(j)
-        pairs, last = [], -1
-        for i, k in enumerate(x):
-            j = next((j for j in places.get(k[0], []) if j > last), None)
-            if j is not None:
-                pairs.append((i, j))
-                places[k[0]] = [q for q in places[k[0]][:64] if q > j] + places[k[0]][64:]
-                last = j
-        memo[key] = 1 + sum(match(x[i], y[j], memo)[0] for i, j in pairs), pairs
-        return memo[key]
-    m = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-    w = [[match(p, q, memo)[0] if p[0] == q[0] else 0 for q in y] for p in x]
-    for i in range(1, len(x) + 1):
-        for j in range(1, len(y) + 1):
-            m[i][j] = max(m[i - 1][j], m[i][j - 1], m[i - 1][j - 1] + w[i - 1][j - 1])
-    pairs, i, j = [], len(x), len(y)
-    while i and j:
-        if w[i - 1][j - 1] and m[i][j] == m[i - 1][j - 1] + w[i - 1][j - 1]:
-            pairs.append((i - 1, j - 1))
-            i, j = i - 1, j - 1
-        elif m[i][j] == m[i - 1][j]:
-            i -= 1
-        else:
-            j -= 1
-    memo[key] = 1 + m[len(x)][len(y)], pairs[::-1]
-    return memo[key]
+def _hash(*parts) -> int:
+    text = "\n".join(map(str, parts)).encode("utf-8", "surrogatepass")
+    return int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little", signed=True)
 
 
-def _merge(a: list, b: list, memo: dict) -> list:
-    """``a`` with the text of nodes that ``b`` lacks or differs in marked as varying ("*")."""
-    kids, at = [k for k in a[2]], dict(match(a, b, memo)[1])
-    out = [_merge(k, b[2][at[i]], memo) if i in at else _vary(k) for i, k in enumerate(kids)]
-    return [a[0], a[1] if a[1] == b[1] else "*", out]
+def content(root: Node, article: bool) -> Iterator[tuple[int, bool, Node]]:
+    """(hash of the path, whether it is prose of an article, node) of all nodes with text outside furniture."""
+    stack = [(root, 0, False)]
+    while stack:
+        node, path, inside = stack.pop()
+        if node.out:
+            continue
+        path, inside = _hash(path, node.sig), inside or node.tag in ("article", "main")
+        if node.texts and (inside or not article):
+            yield path, article and node.tag in PROSE, node
+        stack += [(k, path, inside) for k in node.kids]
 
 
-def _vary(a: list) -> list:
-    return [a[0], "*", [_vary(k) for k in a[2]]]
+def layout(root: Node) -> int:
+    """Tells pages of one layout: the signatures of the containers below the body."""
+    level = root.kids
+    while level and all(k.tag in ("html", "body", "head") for k in level):
+        level = [x for k in level if k.tag != "head" for x in k.kids]
+    return _hash(*sorted({k.sig for k in level if k.tag not in PROSE}))
 
 
-def induce(trees: list[list]) -> list | None:
-    if len(trees) < 2:
-        return None
-    wrapper = trees[0]
-    for t in trees[1:]:
-        wrapper = _merge(wrapper, t, {})
-    return wrapper
+def groups(path: int, prose: bool, lay: int) -> tuple[tuple[int, bool], tuple[int, bool]]:
+    """The keys a path is counted by, over the host and over its layout, and whether each needs ``FEW`` pages."""
+    return (_hash(path, "host", prose), prose), (_hash(path, lay, prose), True)
 
 
-def extract(html: str, wrapper: list | None) -> str:
+def extract(html: str, known: frozenset[int] | None) -> str:
     if not html:
         return ""
     root, article = tree(html)
-    known: set[int] = set()
-    if wrapper:
-        _template(root, plain(root), wrapper, {}, known)
+    lay = layout(root) if known else 0
     found: list[tuple[int, str]] = []
-
-    def walk(node: Node, inside: bool) -> None:
-        if node.out:
-            return
-        inside = inside or node.tag in ("article", "main")
-        if (inside or not article) and not (id(node) in known and not (article and node.tag in PROSE)):
+    for path, prose, node in content(root, article):
+        if not known or not any(_hash(key, *node.texts) in known for key, _ in groups(path, prose, lay)):
             found.extend(zip(node.order, node.texts, strict=True))
-        for k in node.kids:
-            walk(k, inside)
-
-    walk(root, False)
     return "\n\n".join(t for _, t in sorted(found))
 
 
-def _template(node: Node, mine: list, wrapper: list, memo: dict, known: set[int]) -> None:
-    """Collects the nodes of a page aligned with template nodes of the same text."""
-    if mine[1] and mine[1] == wrapper[1]:
-        known.add(id(node))
-    for i, j in match(mine, wrapper, memo)[1]:
-        _template(node.kids[i], mine[2][i], wrapper[2][j], memo, known)
+COUNTS = pa.schema([("host", pa.string()), ("key", pa.int64()), ("text", pa.int64()), ("few", pa.bool_()), ("pages", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64())])
 
 
-@lru_cache(256)
-def _load(wrapper: str) -> list:
-    return json.loads(wrapper)
+def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per host and key the texts on all pages of this task with that key (one row each), and its pages (a row without text)."""
+    held: dict[tuple[str, int], list] = {}
+    size = 0
 
+    def rows() -> pa.RecordBatch:
+        out = []
+        for (host, key), (texts, few, n, lo, hi) in held.items():
+            out.append((host, key, None, few, n, lo, hi))
+            out += [(host, key, t, few, n, lo, hi) for t in texts]
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), COUNTS, strict=True)], schema=COUNTS)
 
-def _exemplars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    best: dict[tuple[str, int], tuple[int, str]] = {}
     for batch in batches:
         for host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            text = json.dumps(plain(tree(html)[0]), separators=(",", ":"))
-            h = int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "little") >> 1
-            key = host, h % EXEMPLARS
-            if key not in best or h < best[key][0]:
-                best[key] = h, text
-    keys = list(best)
-    yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([best[k][0] for k in keys], pa.int64()), pa.array([best[k][1] for k in keys], pa.string())], ["host", "slot", "h", "tree"])
-
-
-def _induce(pdf: pd.DataFrame) -> pd.DataFrame:
-    got = induce([json.loads(t) for t in pdf.sort_values("slot")["tree"]])
-    return pd.DataFrame({"host": pdf["host"].iloc[:1], "wrapper": [json.dumps(got, separators=(",", ":")) if got else None]})
+            root, article = tree(html)
+            lay, mine = layout(root), {}
+            texts = [(p, prose, tuple(n.texts)) for p, prose, n in content(root, article)]
+            page = _hash(*texts)
+            for p, prose, text in texts:
+                for key, few in groups(p, prose, lay):
+                    mine.setdefault((key, few), set()).add(text)
+            for (key, few), got in mine.items():
+                old = held.get((host, key))
+                if old is None:
+                    held[host, key] = [{_hash(key, *t) for t in got}, few, 1, page, page]
+                    size += 1 + len(got)
+                else:
+                    if old[0]:
+                        old[0] &= {_hash(key, *t) for t in got}
+                    old[2:] = old[2] + 1, min(old[3], page), max(old[4], page)
+            if size > HELD:
+                yield rows()
+                size = 0
+    if held:
+        yield rows()
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -304,10 +263,13 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     host = F.lower(F.regexp_extract(F.col("url"), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1))
     pages = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
     pages = pages.withColumn("host", F.coalesce(host, F.lit("")))
-    best = pages.where("host <> '' AND html <> ''").select("host", "html").mapInArrow(_exemplars, "host string, slot int, h long, tree string")
-    best = best.groupBy("host", "slot").agg(F.min_by("tree", "h").alias("tree"))
-    wrappers = scratch.table(best.groupBy("host").applyInPandas(_induce, "host string, wrapper string").where("wrapper IS NOT NULL"), "wrappers")
-    size = wrappers.agg(F.sum(F.length("wrapper") + 64)).first()[0] or 0
+    parts = pages.where("host <> '' AND html <> ''").select("host", "html").mapInArrow(_common, "host string, key long, text long, few boolean, pages long, lo long, hi long")
+    counts = parts.groupBy("host", "key", "text").agg(F.count("*").alias("parts"), F.max("few").alias("few"), F.sum("pages").alias("pages"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    counts = scratch.table(counts, "counts")
+    enough = counts.where(f"text IS NULL AND lo < hi AND (NOT few OR pages >= {FEW})").select("host", "key", "parts")
+    known = counts.where("text IS NOT NULL").join(enough, ["host", "key", "parts"], "left_semi")  # in every part, so on every page
+    wrappers = scratch.table(known.groupBy("host").agg(F.collect_set("text").alias("wrapper")), "wrappers")
+    size = wrappers.agg(F.sum(8 * F.size("wrapper") + 64)).first()[0] or 0
     if size <= SMALL:
         both = pages.join(F.broadcast(wrappers), "host", "left")
     else:
@@ -316,7 +278,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [extract(h, _load(w) if w else None) for h, w in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            texts = [extract(h, frozenset(w.as_py()) if w.is_valid else None) for h, w in zip(batch.column(2).to_pylist(), batch.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["id", "url", "text"])
 
     return keep(both.select("id", "url", "html", "wrapper").mapInArrow(run, "id long, url string, text string"), scratch)
