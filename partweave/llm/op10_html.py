@@ -20,7 +20,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -45,7 +47,6 @@ FURNITURE_WORDS = frozenset(
 FURNITURE_ROLES = frozenset("alert banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 P_ENDS = BLOCK - {"html", "body", "td", "th", "li", "dd", "dt"}
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table", "tbody", "thead", "tfoot"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
-DEEPEST = 60  # deeper elements become siblings at this depth
 FEW = 4  # pages that tell the template of a layout, or of article prose
 HELD = 200_000  # texts held by a task before it hands on what its pages have in common
 SMALL = 32 << 20
@@ -71,6 +72,9 @@ class _Tree(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("", "", False)
         self.stack = [self.root]
+        self.homes = [self.root]  # of each open element: where its text goes
+        self.outs = [False]  # whether it lies in furniture
+        self.open: Counter[str] = Counter()
         self.block: list[str] = []
         self.at = 0
         self.articles = 0
@@ -80,16 +84,28 @@ class _Tree(HTMLParser):
             text = " ".join("".join(self.block).split())
             self.block.clear()
             if text:
-                home = next(n for n in reversed(self.stack) if n.tag in BLOCK or n is self.root or n.out)
+                home = self.homes[-1]
                 home.texts.append(text)
                 home.order.append(self.at)
                 self.at += 1
 
+    def _push(self, node: Node) -> None:
+        self.stack.append(node)
+        self.homes.append(node if node.tag in BLOCK or node.out else self.homes[-1])
+        self.outs.append(node.out or self.outs[-1])
+        self.open[node.tag] += 1
+
+    def _cut(self, k: int) -> None:
+        self.open.subtract(n.tag for n in self.stack[k:])
+        del self.stack[k:], self.homes[k:], self.outs[k:]
+
     def _close(self, names: set[str], limits: set[str]) -> None:
+        if not any(self.open[n] for n in names):
+            return
         for k in range(len(self.stack) - 1, 0, -1):
             if self.stack[k].tag in names:
                 self._end_block()
-                del self.stack[k:]
+                self._cut(k)
                 return
             if self.stack[k].tag in limits:
                 return
@@ -116,10 +132,9 @@ class _Tree(HTMLParser):
         node = Node(tag, f"{tag}.{(got.get('class') or '').strip().lower()}", out)
         parent = self.stack[-1]
         parent.kids.append(node)
-        if tag in ("article", "main") and not out and not any(n.out for n in self.stack):
+        if tag in ("article", "main") and not out and not self.outs[-1]:
             self.articles += 1
-        if len(self.stack) < DEEPEST:
-            self.stack.append(node)
+        self._push(node)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -127,12 +142,14 @@ class _Tree(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
+        if not self.open[tag]:
+            return
         for k in range(len(self.stack) - 1, 0, -1):
             node = self.stack[k]
             if node.tag == tag:
                 if tag in BLOCK or node.out:
                     self._end_block()
-                del self.stack[k:]
+                self._cut(k)
                 return
             if node.tag in ("article", "main", "body") and tag not in ("html", "body"):
                 return
@@ -151,26 +168,31 @@ def tree(html: str) -> tuple[Node, bool]:
     return p.root, p.articles > 0
 
 
-def _fold(node: Node) -> None:
+def _fold(root: Node) -> None:
     """Drops elements without any text; inline elements hand their block children to the parent."""
-    kids: list[Node] = []
-    for k in node.kids:
-        _fold(k)
-        if k.texts or k.kids:
-            if k.tag in BLOCK or k.out:
-                kids.append(k)
+    order, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        order.append(node)
+        stack += node.kids
+    for node in reversed(order):  # children first
+        kids: list[Node] = []
+        for k in node.kids:
+            if k.texts or k.kids:
+                if k.tag in BLOCK or k.out:
+                    kids.append(k)
+                else:
+                    kids += k.kids
+                    node.texts += k.texts
+                    node.order += k.order
+        node.kids = []
+        for k in kids:  # a run of like leaves is one repeated node
+            last = node.kids[-1] if node.kids else None
+            if last and not k.kids and not last.kids and last.sig == k.sig and last.out == k.out:
+                last.texts += k.texts
+                last.order += k.order
             else:
-                kids += k.kids
-                node.texts += k.texts
-                node.order += k.order
-    node.kids = []
-    for k in kids:  # a run of like leaves is one repeated node
-        last = node.kids[-1] if node.kids else None
-        if last and not k.kids and not last.kids and last.sig == k.sig and last.out == k.out:
-            last.texts += k.texts
-            last.order += k.order
-        else:
-            node.kids.append(k)
+                node.kids.append(k)
 
 
 def _hash(*parts) -> int:
@@ -178,6 +200,11 @@ def _hash(*parts) -> int:
     return int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little", signed=True)
 
 
+@lru_cache(1 << 16)
+def _path(above: int, sig: str) -> int:
+    return _hash(above, sig)
+
+
 def content(root: Node, article: bool) -> Iterator[tuple[int, bool, Node]]:
     """(hash of the path, whether it is prose of an article, node) of all nodes with text outside furniture."""
     stack = [(root, 0, False)]
@@ -185,7 +212,7 @@ def content(root: Node, article: bool) -> Iterator[tuple[int, bool, Node]]:
         node, path, inside = stack.pop()
         if node.out:
             continue
-        path, inside = _hash(path, node.sig), inside or node.tag in ("article", "main")
+        path, inside = _path(path, node.sig), inside or node.tag in ("article", "main")
         if node.texts and (inside or not article):
             yield path, article and node.tag in PROSE, node
         stack += [(k, path, inside) for k in node.kids]
@@ -199,6 +226,7 @@ def layout(root: Node) -> int:
     return _hash(*sorted({k.sig for k in level if k.tag not in PROSE}))
 
 
+@lru_cache(1 << 16)
 def groups(path: int, prose: bool, lay: int) -> tuple[tuple[int, bool], tuple[int, bool]]:
     """The keys a path is counted by, over the host and over its layout, and whether each needs ``FEW`` pages."""
     return (_hash(path, "host", prose), prose), (_hash(path, lay, prose), True)

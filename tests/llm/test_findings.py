@@ -23,3 +23,13 @@ def test_html_layouts(spark):
     for k in range(20):
         assert got[k] == (f"Text {k}" if k % 2 else f"Story {k}"), got[k]
     assert got[20] == "Odd" and got[21] == "Shown"
+
+
+def test_html_deep(spark):
+    """Depth is no limit: articles, furniture and end tags count below any number of elements."""
+    deep = {0: ("<div>" * 100, "</div>" * 100), 1: ("<font>" * 100, ""), 2: ("<div>" * 5000, "</div>" * 5000), 3: ("<font>" * 5000, "")}
+    rows = [(k, f"http://h{k}.example/", f"<body><p>Outside</p>{a}<nav>menu</nav><article><h1>T</h1><p>Body</p><form>ask</form><script>x()</script></article>{b}<p>After</p></body>") for k, (a, b) in deep.items()]
+    rows += [(k + 4, f"http://g{k}.example/", f"<body>{a}<div><p>One</p></div><script>x()</script><div hidden>no</div>{b}<div>Two</div></body>") for k, (a, b) in deep.items()]
+    got = texts(spark, rows)
+    for k in range(4):
+        assert got[k] == "T\n\nBody" and got[k + 4] == "One\n\nTwo"
