@@ -2,7 +2,9 @@
 
 A text is cut into sentences (at line ends and after ``.``, ``!``, ``?`` or ``;`` before white space),
 each is normalised (``A-Z`` to lower case, runs of other than letters a-z and digits to one space), and
-known sentences become their identifiers.  The identifiers of a text, in order, are matched against
+known sentences become their identifiers.  A known sentence may be wrapped over lines (a line end counts
+as a space, comment marks at line starts drop out, an empty line ends it), and one with a dot before a
+space inside must be there with all of its parts.  The identifiers of a text, in order, are matched against
 ordered rules; a rule whose identifiers lie within those of a longer matched rule is not reported.  All
 of it happens within the row: nothing is shuffled, and the known sentences are a bounded constant.
 
@@ -60,10 +62,17 @@ def normal(sentence: str) -> str:
 
 
 def entries() -> dict[str, int]:
-    """Normalised known sentences; one with a dot before a space inside is known by each of its parts' last."""
+    """The known sentences of the SQL: one with a dot before a space inside is known there by its last part only."""
     return {normal(re.split(r"[.!?;]+\s", s)[-1] if re.search(r"[.!?;]+\s", s) else s): k for k, s in SENTENCES.items()}
 
 
+def pattern() -> str:
+    """Matches known sentences between ends: "|" ends a sentence, a line end may stand for each space."""
+    parts = [[normal(x).replace(" ", "[ \n]") for x in re.split(r"[.!?;]+\s", s.rstrip(".:"))] for s in SENTENCES.values()]
+    known = sorted((r"\|\n?".join(p) for p in parts), key=lambda x: (-len(x), x))
+    return rf"(?<=[|\n])(?:{'|'.join(known)})(?=[|\n])"
+
+
 def _wins(name: str, ids: tuple[int, ...], has) -> str:
     longer = [r for _, r in RULES if len(r) > len(ids) and any(r[i : i + len(ids)] == ids for i in range(len(r) - len(ids) + 1))]
     return " AND ".join([has(ids), *[f"NOT {has(r)}" for r in longer]])
@@ -71,11 +80,12 @@ def _wins(name: str, ids: tuple[int, ...], has) -> str:
 
 def find_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """-> ``(id, sentence_ids array<int>, licenses array<string>)``, licenses distinct and sorted."""
-    known = ", ".join(f"'{s}', {k}" for s, k in entries().items())
-    d = docs.select(F.col(id_col).cast("long").alias("id"), F.concat(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.lit(" ")).alias("t"))
-    d = d.select("id", F.expr(rf"split(regexp_replace(t, '[.!?;]+[\\x20\\x09-\\x0D]', '\n'), '\n')").alias("s"))
-    d = d.select("id", F.expr(f"transform(s, x -> trim(regexp_replace(translate(x, '{UPPER}', '{LOWER}'), '[^a-z0-9]+', ' ')))").alias("s"))
-    d = d.select("id", F.expr(f"filter(transform(s, x -> try_element_at(map({known}), x)), k -> k IS NOT NULL)").alias("sentence_ids"))
+    known = ", ".join(f"'{normal(s)}', {k}" for k, s in SENTENCES.items())
+    t = F.translate(F.concat(F.lit("\n"), F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.lit("\n")), UPPER + "|", LOWER + " ")
+    t = F.regexp_replace(F.regexp_replace(t, r"[.!?;]+[\x20\x09-\x0D]", "|\n"), r"[^a-z0-9|\n]+", " ")
+    t = F.regexp_replace(t, r" ?([|\n]) ?", "$1")
+    d = docs.select(F.col(id_col).cast("long").alias("id"), F.regexp_extract_all(t, F.lit(pattern()), F.lit(0)).alias("s"))
+    d = d.select("id", F.expr(f"transform(s, x -> try_element_at(map({known}), regexp_replace(x, '[^a-z0-9]+', ' ')))").alias("sentence_ids"))
     d = d.withColumn("seq", F.expr("concat(',', array_join(cast(sentence_ids AS array<string>), ','), ',')"))
     found = [F.when(F.expr(_wins(n, ids, lambda r: f"contains(seq, ',{','.join(map(str, r))},')")), F.lit(n)) for n, ids in RULES]
     return d.select("id", "sentence_ids", F.array_sort(F.array_distinct(F.array_compact(F.array(*found)))).alias("licenses"))

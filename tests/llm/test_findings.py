@@ -1,5 +1,8 @@
 """Small tests of findings: each failed before its fix."""
 
+import textwrap
+
+from partweave.llm.op05_licenses import RULES, SENTENCES, find_licenses
 from partweave.llm.op10_html import main_text
 
 PAGES = "page_id long, url string, html string"
@@ -33,3 +36,19 @@ def test_html_deep(spark):
     got = texts(spark, rows)
     for k in range(4):
         assert got[k] == "T\n\nBody" and got[k + 4] == "One\n\nTwo"
+
+
+def test_licenses_parts_and_wraps(spark):
+    wrapped = []
+    for _, ids in RULES:
+        for mark in ("", " * ", "# ", "// "):
+            lines = [x for k in ids for x in [*textwrap.wrap(SENTENCES[k].rstrip(":") + ("." if k % 2 else ":"), 40), ""]]
+            wrapped.append("\n".join((mark + x).rstrip() for x in lines))
+    mpl = SENTENCES[50]
+    rows = list(enumerate(["2.0", "a\n2-0\n(2.0)\nb", "Other License, v. 2.0", f"x. {mpl}.\nIf", mpl.replace("v. ", "v.\n"), "Released under the MIT\n\nLicense", "Copyright X\nReleased under\nthe MIT License\nmore", *wrapped]))
+    got = {r["id"]: (r["sentence_ids"], r["licenses"]) for r in find_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0] == got[1] == got[2] == got[5] == ([], [])
+    assert got[3] == got[4] == ([50], ["MPL-2.0"]) and got[6] == ([1], ["MIT"])
+    for k in range(len(wrapped)):
+        name, ids = RULES[k // 4]
+        assert got[7 + k] == (list(ids), [name]), wrapped[k]
