@@ -4,15 +4,16 @@ An assistant message may be a JSON object with ``tool_calls``: a list of ``{"id"
 (arguments an object, or a string holding one); a tool message is a JSON object with ``tool_call_id``.
 Messages, calls and results become items, one row each.  Results and calls are hash-joined by
 conversation and identifier; a call whose arguments hold ``{"$ref": id}`` depends on that call.  Items
-are put in order by level: an item's level is one more than the highest level it depends on, found by
-joining round by round, so a conversation of any length is never gathered in one task.  ``order by
+are put in order by level: an item's level is one more than the highest level it depends on, found
+without a limit on rounds: chains of calls with one reference each are followed by doubling steps, calls
+with more are placed round by round.  So a conversation of any length is never gathered in one task.  ``order by
 conv_id, turn_level, level, turn, item`` is a topological order of a conversation.  Arguments are checked against
 a schema per tool and every item is written as canonical JSON (sorted keys, no white space, UTF-8).
 
 Defined cases: a message that is no such JSON is a plain message; null role, text or turn stay null;
 of calls with one identifier the first in (turn, item) is linked, the others are ``duplicate``; a
-result without a call is ``orphan``, a call without result ``open``; items on a cycle of references are
-``cycle`` and keep level 0; equal messages stay apart; an empty table gives an empty result.
+result without a call is ``orphan``, a call without result ``open``; calls on a cycle of references,
+or that depend on one, are ``cycle`` and keep level 0; equal messages stay apart; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -119,7 +120,7 @@ def items(role, text, schemas: dict) -> Iterator[tuple]:
         yield k, "call", call["id"], sorted(references(args)), error is None, error, canonical(body)
 
 
-def link_tool_calls(turns: DataFrame, schemas: dict | None = None, rounds: int = 1000) -> DataFrame:
+def link_tool_calls(turns: DataFrame, schemas: dict | None = None) -> DataFrame:
     """``turns(conv_id, turn, role, text)`` -> one row per item, with ``state``, ``level`` and ``turn_level``."""
     scratch = Scratch(turns.sparkSession)
     schemas = SCHEMAS if schemas is None else schemas
@@ -136,21 +137,33 @@ def link_tool_calls(turns: DataFrame, schemas: dict | None = None, rounds: int =
     calls = rows.where("kind = 'call'").groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "item", "json")).alias("first"), F.flatten(F.collect_set("refs")).alias("refs"))
     calls = scratch.table(calls.select("conv_id", "call_id", "first", F.array_distinct("refs").alias("refs")), "calls")
     edges = scratch.table(calls.select("conv_id", "call_id", F.explode("refs").alias("on")).join(calls.select("conv_id", F.col("call_id").alias("on")), ["conv_id", "on"]), "edges")
-    # calls all of whose references are placed are placed next; what is never placed lies on or behind a cycle
-    placed = calls.join(edges.select("conv_id", "call_id").distinct(), ["conv_id", "call_id"], "left_anti").select("conv_id", "call_id", F.lit(0).alias("depth"))
+    n_refs = edges.groupBy("conv_id", "call_id").agg(F.count("*").alias("n"))
+    placed = calls.join(n_refs, ["conv_id", "call_id"], "left_anti").select("conv_id", "call_id", F.lit(0).cast("long").alias("depth"))
     placed = scratch.table(placed, "placed0")
-    total, done = calls.count(), placed.count()
-    for k in range(1, rounds + 1):
-        if done == total:
-            break
-        open_edges = edges.join(placed.select("conv_id", F.col("call_id").alias("on")), ["conv_id", "on"], "left_anti")
-        left = edges.select("conv_id", "call_id").distinct().join(open_edges.select("conv_id", "call_id").distinct(), ["conv_id", "call_id"], "left_anti")
-        left = left.join(placed, ["conv_id", "call_id"], "left_anti")
-        placed = scratch.table(placed.union(left.select("conv_id", "call_id", F.lit(k).alias("depth"))), f"placed{k}")
-        now = placed.count()
-        if now == done:
-            break
-        done = now
+    if not edges.isEmpty():
+        # a call with one reference points ``w`` steps down its chain; each step doubles that, so only chains into a cycle still move in the end
+        jump = edges.join(n_refs.where("n = 1"), ["conv_id", "call_id"], "left_semi").select("conv_id", "call_id", F.col("on").alias("to"), F.lit(1).cast("long").alias("w"))
+        jump, reach, total = scratch.table(jump, "jump0"), 1, calls.count()
+        while reach <= total:
+            ahead = jump.select("conv_id", F.col("call_id").alias("to"), F.col("to").alias("next"), F.col("w").alias("more"))
+            moved = jump.join(ahead, ["conv_id", "to"], "left").select("conv_id", "call_id", F.coalesce("next", "to").alias("to"), F.expr("w + coalesce(more, 0)").alias("w"), F.col("next").isNotNull().alias("moved"))
+            reach *= 2
+            moved = scratch.table(moved, f"jump{reach}")
+            jump = moved.drop("moved")
+            if moved.where("moved").isEmpty():
+                break
+        # calls with more references are placed when all of them are; each round writes only the calls it places
+        many = edges.join(n_refs.where("n > 1"), ["conv_id", "call_id"], "left_semi").join(jump.select("conv_id", F.col("call_id").alias("on"), "to", "w"), ["conv_id", "on"], "left")
+        many = scratch.table(many.select("conv_id", "call_id", F.coalesce("to", "on").alias("to"), F.expr("1 + coalesce(w, 0)").alias("w")), "many")
+        paths, now = [f"{scratch.base}/placed0"], not many.isEmpty()
+        while now:
+            left = many.join(placed.select("conv_id", "call_id"), ["conv_id", "call_id"], "left_anti").join(placed.withColumnRenamed("call_id", "to"), ["conv_id", "to"], "left")
+            new = left.groupBy("conv_id", "call_id").agg(F.max(F.expr("depth + w")).alias("depth"), F.count_if(F.col("depth").isNull()).alias("missing")).where("missing = 0").drop("missing")
+            paths.append(f"{scratch.base}/placed{len(paths)}")
+            now = not scratch.table(new, paths[-1].rsplit("/", 1)[1]).isEmpty()
+            placed = scratch.spark.read.schema(placed.schema).parquet(*paths)
+        placed = placed.union(jump.join(placed.withColumnRenamed("call_id", "to"), ["conv_id", "to"]).select("conv_id", "call_id", F.expr("depth + w")))
+    placed = placed.select("conv_id", "call_id", F.col("depth").cast("int").alias("depth"))
     answered = rows.where("kind = 'result'").select("conv_id", "call_id").distinct().withColumn("answered", F.lit(True))
     facts = calls.select("conv_id", "call_id", "first").join(placed, ["conv_id", "call_id"], "left").join(answered, ["conv_id", "call_id"], "left")
     linked = rows.where("call_id IS NOT NULL").join(facts, ["conv_id", "call_id"], "left")

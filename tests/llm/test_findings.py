@@ -1,7 +1,10 @@
 """Small tests of findings: each failed before its fix."""
 
+import json
+import random
 import textwrap
 
+from partweave.llm.op01_tool_calls import link_tool_calls
 from partweave.llm.op05_licenses import RULES, SENTENCES, find_licenses
 from partweave.llm.op10_html import main_text
 
@@ -52,3 +55,20 @@ def test_licenses_parts_and_wraps(spark):
     for k in range(len(wrapped)):
         name, ids = RULES[k // 4]
         assert got[7 + k] == (list(ids), [name]), wrapped[k]
+
+
+def test_tool_calls_long_chain(spark):
+    """A chain longer than the former 1,000 rounds, mixed references, and cycles keep their levels."""
+    rng, refs = random.Random(3), {f"c{k}": [f"c{k - 1}"] if k else [] for k in range(1500)}
+    for k in range(40):
+        refs[f"m{k}"] = sorted({f"c{rng.randrange(1500)}", *[f"m{rng.randrange(max(0, k - 12), k)}" for _ in range(rng.randint(0, 2)) if k]})
+    refs |= {"r0": ["r2"], "r1": ["r0"], "r2": ["r1"], "b": ["r1", "c0"], "s": ["s"]}
+    depth: dict = {}
+    for k in [x for x in refs if x[0] in "cm"]:
+        depth[k] = 1 + max(depth[x] for x in refs[k]) if refs[k] else 0
+    names = list(refs)
+    rng.shuffle(names)
+    rows = [(1, t, "assistant", json.dumps({"tool_calls": [{"id": n, "name": "x", "arguments": {"a": [{"$ref": r} for r in refs[n]]}}]})) for t, n in enumerate(names)]
+    got = {r["call_id"]: r for r in link_tool_calls(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).where("kind = 'call'").collect()}
+    for n in names:
+        assert (got[n]["state"], got[n]["level"]) == (("open", 2 * depth[n] + 1) if n in depth else ("cycle", 0)), n
