@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import weakref
@@ -18,9 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; only where it is unset (tests) a local one."""
+    """The folder named by ``spark.checkpoint.dir``; only where it is unset, in a local session, one of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="partweave-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -46,17 +49,25 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         ready(spark)
         self.spark, self.base = spark, f"{shared_dir(spark)}/pw-{uuid.uuid4().hex}"
+        self.names: set[str] = set()
         self._end = weakref.finalize(self, _delete, spark, self.base)
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.base}/{name}"
         df.write.parquet(path)
+        self.names.add(name)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._pw_scratch = self  # keeps the files while the frame is in use
         return out
 
-    def drop(self, name: str) -> None:
-        _delete(self.spark, f"{self.base}/{name}")
+    def drop(self, *names: str) -> None:
+        """Deletes tables that have no further reader; those that were never written are skipped."""
+        for name in names:
+            _delete(self.spark, f"{self.base}/{name}")
+            self.names.discard(name)
+
+    def only(self, *names: str) -> None:
+        self.drop(*(self.names - set(names)))
 
 
 def keep(df: DataFrame, scratch: Scratch) -> DataFrame:

@@ -3,28 +3,35 @@
 Documents are compared by their sets of distinct word shingles; two link when
 ``100 * |A & B| >= percent * |A | B|``.
 
-1. Documents with equal sets form a class (128-bit set digest); only classes are compared.
-2. A fixed-size count sketch of all shingles gives a global rare-first token order.
-3. Each class indexes a prefix of its ordered tokens.  With ``t = ceil(percent/100 * n)`` two linked
-   classes share at least ``l`` of their first ``n - t + l`` tokens, for any ``l``.  Each class picks
+1. Documents with equal sets form a class (128-bit set digest); only classes are compared.  Sets are
+   computed once and stored packed, a block of documents in a row.
+2. Each block asks, per range of token values, how many documents hold its tokens.  A token counts once
+   per block in that exchange, so one held by a third of all documents is a number per block.  Tokens of one
+   document alone are not answered: they come first in the rare-first order and match nothing.
+3. Each class indexes the repeated tokens in a prefix of its ordered tokens.  With ``t = ceil(percent/100 * n)``
+   two linked classes share at least ``l`` of their first ``n - t + l`` tokens, for any ``l``.  Each class picks
    the ``l`` with the least estimated cost (index rows plus expected false candidates), and a pair is
    a candidate only when it shares ``min(l1, l2)`` prefix tokens.
 4. Tokens of few classes emit pairs; the shared tokens of a pair are counted and pairs below their
    required number are dropped.  What remains is grouped (components of candidate pairs).  A token of
    many classes emits no pairs: its classes are a group.  Tokens whose classes share the least hash, so mostly
    tokens of about the same classes, make one group of all their classes.
-5. Groups are verified on whole sets in two passes.  The first deals a group's classes to blocks, each
-   with two pivots of the group, and compares all of a block; rows grow with the group, not its square,
-   and most of a group of near copies joins up through the pivots.  The second takes the classes outside
-   the group's largest component and compares them with all classes of the group, in rectangular blocks.
-   Two classes are left uncompared only when they are in one component already.
+5. Groups are verified on whole sets.  The first pass deals a group's classes to blocks, each
+   with two pivots of the group, and compares all of a block, so a group of one block is done; rows grow with
+   the group, not its square, and most of a group of near copies joins up through the pivots.  In the second
+   pass, candidate pairs of larger groups that are still in two components are compared one by one; of the groups of
+   frequent tokens, the classes outside the largest component are compared with all classes of the group, in
+   rectangular blocks.  Two classes are left uncompared only when they are in one component already.
 6. Blocks report only the links that join something new within the block, and the connected
    components of those links are the result.  No link is lost: a verified pair of classes is always
    inside the component its block reports.
 
+Intermediate tables go as soon as their last reader has ended; only the result stays.
+
 Defined cases: null text, empty text and text of white space have no shingles, size 0 and link with
 nothing (component = own id).  Rows with equal ids are separate rows of the result.  A row with a null
-id keeps its size and takes part in its class; its component is that of the class, null if it is alone.
+id keeps its size and takes part in its class; its component is that of the class, null if no id is in reach.
+Tokens and classes are told apart by 64 bits of their hashes.
 """
 
 from __future__ import annotations
@@ -33,6 +40,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,136 +49,200 @@ from .common import Scratch, keep
 from .components import components
 from .words import chunks, digest, shingle_sets
 
-SKETCH_BITS = 20
-CHUNK = 4096
 FEW = 32  # a token in at most so many classes emits its pairs
 BLOCK = 128  # classes of a block, or on each side of a rectangular one
 MOST_MATCHES = 8
 SALTS = 16  # parts into which the classes of a group are dealt when looking up what holds for the group
 REMEMBERED = 200_000  # digests a task remembers to skip its own copies; more copies only cost time
+BLOCK_TOKENS, BLOCK_DOCS = 1_000_000, 16_384  # of a block of stored sets
+RANGE_TOKENS = 1_000_000  # tokens of a range, about
+BITS = 25  # of the fixed-size filter that keeps most sets without candidates out of the exchange
+
+PACKED = "src long, part int, tokens binary, nums binary, keys binary"
 
 
 def _first(b: bytes) -> int:
     return int.from_bytes(b[:8], "little", signed=True)
 
 
-def _slot(tokens: np.ndarray) -> np.ndarray:
-    return (tokens >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
-
-
-def _profile_rows(ids, sizes: list, sets: list, chunk: list, counts: list | None) -> pd.DataFrame:
-    keys = [None if d is None else _first(d) for d in sets]
-    return pd.DataFrame({"id": ids, "n": pd.array(sizes, "Int64"), "digest": pd.Series(sets, dtype=object), "key": pd.array(keys, "Int64"), "chunk": pd.array(chunk, "Int32"), "counts": pd.Series(counts, dtype=object) if counts else None})
+def lowest(n, percent: int):
+    """The least overlap with any linked set: ceil(percent/100 * n)."""
+    return -(-percent * n // 100)
 
 
-def _profile(width: int):
-    """Per document: size and set digest.  Per task: its part of the token count sketch."""
+def _profile(width: int, percent: int, schema: pa.Schema):
+    """Per document (first columns as given): size, set digest and its first 64 bits.  Per block: its sets."""
+    given = len(schema) - 7  # columns that come with the text, which is the last one
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts = np.zeros(1 << SKETCH_BITS, np.int32)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
-        for pdf in batches:
-            texts = list(pdf["text"])
-            sizes, sets = [], []
+        held: list[np.ndarray] = []
+        keys: list[int] = []
+        size, number = 0, TaskContext.get().partitionId() << 32
+
+        def block() -> pa.RecordBatch:
+            nonlocal number
+            lens = np.array([len(s) for s in held], np.uint32)
+            row = [None] * (given + 3) + [number, np.concatenate(held).tobytes(), lens.tobytes(), np.array(keys, np.int64).tobytes()]
+            number += 1
+            held.clear()
+            keys.clear()
+            return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, schema, strict=True)], schema=schema)
+
+        for batch in batches:
+            texts = batch.column(given).to_pylist()
             for a, b in chunks(texts, 1_000_000):
-                new = []
+                sizes, marks = [], []
                 for tokens in shingle_sets(texts[a:b], width):
-                    sizes.append(len(tokens))
-                    sets.append(digest(tokens) if len(tokens) else None)
-                    if len(tokens) and sets[-1] not in seen:  # copies within a task count once
-                        if len(seen) < REMEMBERED:
-                            seen.add(sets[-1])
-                        new.append(tokens)
-                if new:
-                    counts += np.bincount(_slot(np.concatenate(new)), minlength=len(counts)).astype(np.int32)
-            yield _profile_rows(pdf["id"].astype("Int64"), sizes, sets, [None] * len(pdf), None)
-        full = [k for k in range(len(counts) // CHUNK) if counts[k * CHUNK : (k + 1) * CHUNK].any()]
-        none = [None] * len(full)
-        yield _profile_rows(pd.array(none, "Int64"), none, none, full, [counts[k * CHUNK : (k + 1) * CHUNK].tobytes() for k in full])
+                    n = len(tokens)
+                    mark = digest(tokens) if n else None
+                    sizes.append(n)
+                    marks.append(mark)
+                    if not n or mark in seen or (lowest(n, percent) == n and 100 * n // percent == n):
+                        continue  # a copy, or a set that only an equal one can link to
+                    if len(seen) < REMEMBERED:
+                        seen.add(mark)
+                    held.append(tokens)
+                    keys.append(_first(mark))
+                    size += n
+                    if size >= BLOCK_TOKENS or len(held) >= BLOCK_DOCS:
+                        yield block()
+                        size = 0
+                m = b - a
+                own = [pa.array(sizes, pa.int64()), pa.array(marks, pa.binary()), pa.array([None if d is None else _first(d) for d in marks], pa.int64())]
+                yield pa.RecordBatch.from_arrays([batch.column(k).slice(a, m) for k in range(given)] + own + [pa.nulls(m, f.type) for f in list(schema)[-4:]], schema=schema)
+        if held:
+            yield block()
 
     return run
 
 
-def _sum_counts(pdf: pd.DataFrame) -> pd.DataFrame:
-    total = np.zeros(CHUNK, np.int64)
-    for b in pdf["counts"]:
-        total += np.frombuffer(b, np.int32)
-    return pd.DataFrame({"chunk": pdf["chunk"].iloc[:1].to_numpy(), "counts": [np.minimum(total, 2**31 - 1).astype(np.int32).tobytes()]})
-
-
-def lowest(n: int, percent: int) -> int:
-    """The least overlap with any linked set: ceil(percent/100 * n)."""
-    return -(-percent * n // 100)
+def _ranges(n: int):
+    """Blocks -> their distinct tokens with the number of holders, a row per range of token values."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for src, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                tokens, count = np.unique(np.frombuffer(raw.as_buffer(), np.uint64), return_counts=True)
+                part = ((tokens >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)
+                at = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+                ends = np.append(at[1:], len(tokens))
+                count = count.astype(np.uint16)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.full(len(at), src), pa.int64()),
+                        pa.array(part[at].astype(np.int32)),
+                        pa.array([tokens[i:j].tobytes() for i, j in zip(at, ends, strict=True)], pa.binary()),
+                        pa.array([count[i:j].tobytes() for i, j in zip(at, ends, strict=True)], pa.binary()),
+                    ],
+                    ["src", "part", "tokens", "nums"],
+                )
 
+    return run
 
-def choose(n: int, df: np.ndarray, percent: int, classes: int) -> int:
-    """How many prefix matches to require: least index rows plus expected wasted verifications.
 
-    ``df`` holds the expected number of other classes for each of the first tokens, in order.  Chance
-    candidates of one match are ``x = sum(df)``; each further match by chance is rarer by ``x / classes``.
+def _answer(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The requests of a range -> for each block its tokens of two documents or more, with their number."""
+    parts = [np.frombuffer(b, np.uint64) for b in pdf["tokens"]]
+    tokens = np.concatenate(parts)
+    count = np.concatenate([np.frombuffer(b, np.uint16) for b in pdf["nums"]]).astype(np.int64)
+    order = np.argsort(tokens, kind="stable")
+    ranked = tokens[order]
+    start = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
+    total = np.add.reduceat(count[order], start)
+    df = np.empty(len(tokens), np.int64)
+    df[order] = np.repeat(total, np.diff(np.append(start, len(ranked))))
+    df = np.minimum(df, 2**32 - 1).astype(np.uint32)
+    out, at = [], 0
+    for src, part, own in zip(pdf["src"], pdf["part"], parts, strict=True):
+        mine = df[at : at + len(own)]
+        at += len(own)
+        again = mine > 1
+        if again.any():
+            out.append((src, part, own[again].tobytes(), mine[again].tobytes(), None))
+    return pd.DataFrame(out, columns=["src", "part", "tokens", "nums", "keys"])
+
+
+def needs(n: np.ndarray, repeated: np.ndarray, before, percent: int, classes: int) -> np.ndarray:
+    """How many prefix matches to require of each set: least index rows plus expected wasted verifications.
+
+    ``repeated`` is the number of a set's tokens that others hold; ``before(k)`` gives, per set, the sum over its
+    first ``k`` repeated tokens of the other documents that hold them.  Chance candidates of one match are that
+    sum ``x``; each further match by chance is rarer by ``x / classes``.
     """
     t = lowest(n, percent)
-    best, at = None, 1
-    for need in range(1, min(MOST_MATCHES, t) + 1):
-        p = n - t + need
-        x = float(df[:p].sum())
-        cost = p + (4 + n / 8) * x * min(0.5, x / max(1, classes)) ** (need - 1)
-        if best is None or cost < best:
-            best, at = cost, need
+    best, at = np.full(len(n), np.inf), np.ones(len(n), np.int64)
+    for need in range(1, MOST_MATCHES + 1):
+        rows = np.clip(n - t + need - (n - repeated), 0, repeated)
+        x = before(rows).astype(float)
+        cost = rows + (4 + n / 8) * x * np.minimum(0.5, x / max(1, classes)) ** (need - 1)
+        better = (cost < best) & (need <= t)
+        best, at = np.where(better, cost, best), np.where(better, need, at)
     return at
 
 
-def _index(width: int, percent: int, shared, classes: int):
-    """Rows (token, key, need, n) of each document's prefix; equal sets give equal rows."""
+def _prefixes(percent: int, classes: int):
+    """A block's sets and answers -> index rows ``(token, key, need, n, df)`` of repeated prefix tokens."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts = shared.value
-        base = max(1, int(np.median(counts)))
-        seen: set[bytes] = set()
-        for pdf in batches:
-            texts = list(pdf["text"])
-            for a, b in chunks(texts, 1_000_000):
-                token, key, need, size = [], [], [], []
-                for tokens in shingle_sets(texts[a:b], width):
-                    n = len(tokens)
-                    if not n or (lowest(n, percent) == n and 100 * n // percent == n):
-                        continue  # only an equal set can link
-                    d = digest(tokens)
-                    if d in seen:
-                        continue
-                    if len(seen) < REMEMBERED:
-                        seen.add(d)
-                    c = counts[_slot(tokens)].astype(np.int64)
-                    t = lowest(n, percent)
-                    most = min(n, n - t + min(MOST_MATCHES, t))
-                    order = np.lexsort((tokens, c))[:most]
-                    own = c[order]
-                    need_here = choose(n, np.maximum(own - base, 1), percent, classes)
-                    p = n - t + need_here
-                    token.append(tokens[order[:p]].view(np.int64))
-                    key.append(np.full(p, _first(d)))
-                    need.append(np.full(p, need_here, np.int32))
-                    size.append(np.full(p, n, np.int32))
-                if token:
-                    yield pd.DataFrame({"token": np.concatenate(token), "key": np.concatenate(key), "need": np.concatenate(need), "n": np.concatenate(size)})
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = pdf[pdf["part"] < 0].iloc[0]
+        told = pdf[pdf["part"] >= 0].sort_values("part")
+        tokens, lens = np.frombuffer(own["tokens"], np.uint64), np.frombuffer(own["nums"], np.uint32).astype(np.int64)
+        keys = np.frombuffer(own["keys"], np.int64)
+        if not len(told):
+            return pd.DataFrame({"token": [], "key": [], "need": [], "n": [], "df": []}).astype("int64")
+        known = np.concatenate([np.frombuffer(b, np.uint64) for b in told["tokens"]])
+        df = np.concatenate([np.frombuffer(b, np.uint32) for b in told["nums"]])
+        at = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
+        hit = known[at] == tokens
+        doc, token, df = np.repeat(np.arange(len(lens)), lens)[hit], tokens[hit], df[at[hit]].astype(np.int64)
+        order = np.lexsort((token, df, doc))
+        doc, token, df = doc[order], token[order], df[order]
+        repeated = np.bincount(doc, minlength=len(lens))
+        first = np.concatenate(([0], np.cumsum(repeated)[:-1]))
+        sums = np.concatenate(([0], np.cumsum(df - 1)))
+        need = needs(lens, repeated, lambda k: sums[first + k] - sums[first], percent, classes)
+        rows = np.clip(lens - lowest(lens, percent) + need - (lens - repeated), 0, repeated)
+        take = np.arange(len(doc)) - first[doc] < rows[doc]
+        doc, token = doc[take], token[take]
+        return pd.DataFrame({"token": token.view(np.int64), "key": keys[doc], "need": need[doc], "n": lens[doc], "df": df[take]})
 
     return run
 
 
-def _sets(width: int):
-    """(class key, its place rows) with texts -> the same with the token set; other texts of the id go."""
+def _bits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Keys -> the bytes of a bit array that are not zero, as (place, value)."""
+    bits = np.zeros(1 << (BITS - 3), np.uint8)
+    for pdf in batches:
+        slot = pdf["key"].to_numpy().astype(np.uint64) >> np.uint64(64 - BITS)
+        np.bitwise_or.at(bits, (slot >> np.uint64(3)).astype(np.int64), (1 << (slot & np.uint64(7))).astype(np.uint8))
+    step = 1 << 12
+    for k in range(0, len(bits), step):
+        if bits[k : k + step].any():
+            yield pd.DataFrame({"k": [k], "b": [bits[k : k + step].tobytes()]})
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            texts = list(pdf["text"])
-            for a, b in chunks(texts, 1_000_000):
-                part = pdf.iloc[a:b]
-                found = shingle_sets(texts[a:b], width)
-                ok = [_first(digest(s)) == k for s, k in zip(found, part["key"], strict=True)]
-                yield pd.DataFrame({"key": part["key"].to_numpy()[ok], "tokens": [s.tobytes() for s, o in zip(found, ok, strict=True) if o]})
 
-    return run
+def _either(pdf: pd.DataFrame) -> pd.DataFrame:
+    out = np.bitwise_or.reduce([np.frombuffer(b, np.uint8) for b in pdf["b"]])
+    return pd.DataFrame({"k": pdf["k"].iloc[:1].to_numpy(), "b": [out.tobytes()]})
+
+
+def _sets(shared):
+    """Blocks -> (class key, its token set) of the classes that may be among those of the bit array."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
+        for batch in batches:
+            for raw, nums, names in zip(*(batch.column(k) for k in range(3)), strict=True):
+                tokens, keys = np.frombuffer(raw.as_buffer(), np.uint64), np.frombuffer(names.as_buffer(), np.int64)
+                ends = np.cumsum(np.frombuffer(nums.as_buffer(), np.uint32), dtype=np.int64)
+                slot = keys.view(np.uint64) >> np.uint64(64 - BITS)
+                hit = np.flatnonzero(bits[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8) & 1)
+                for k in range(0, len(hit), 1024):
+                    part = hit[k : k + 1024]
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[part]), pa.array([tokens[(ends[i - 1] if i else 0) : ends[i]].tobytes() for i in part], pa.binary())], ["key", "tokens"])
+
+    return run
 
 def linked(sets: list[np.ndarray], split: int, percent: int) -> list[tuple[int, int]]:
     """Spanning links of a block: pairs (i < split <= j), or all pairs i < j where split is 0.
@@ -237,34 +310,55 @@ def _verify(percent: int, all_pairs: bool):
     return run
 
 
+def _pairs(percent: int):
+    """Pairs with both sets -> those that link."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            ok = []
+            for x, y in zip(pdf["x"], pdf["y"], strict=True):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                ok.append(100 * common >= percent * (len(x) + len(y) - common))
+            yield pdf.loc[ok, ["a", "b"]]
+
+    return run
+
+
 def _of_group(member: DataFrame, facts: DataFrame, how: str) -> DataFrame:
     """Members with what ``facts`` says of their group; a group's members are dealt by salt, not to one task."""
     spread = facts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return member.withColumn("salt", F.expr(f"cast(pmod(xxhash64(key, 11), {SALTS}) AS int)")).join(spread, ["kind", "grp", "salt"], how).drop("salt")
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """-> ``(id, n_shingles, component_id)``, a row for each row of ``docs``; see the module's text.
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, carry: tuple[str, ...] = ()) -> DataFrame:
+    """-> ``(id, n_shingles, component_id, *carry)``, a row for each row of ``docs``; see the module's text.
 
-    ``component_id`` is the smallest id that links reach.
+    ``component_id`` is the smallest id that links reach.  ``carry`` names further columns of ``docs`` (longs) to keep.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    seen = scratch.table(docs.mapInPandas(_profile(width), "id long, n long, digest binary, key long, chunk int, counts binary"), "profile")
-    rows = seen.where("chunk IS NULL").select("id", "n", "digest", "key")
-    classes = scratch.table(rows.where("digest IS NOT NULL").groupBy("digest", "key").agg(F.min("id").alias("rep")), "classes")
-    counts = np.zeros(1 << SKETCH_BITS, np.int32)
-    for k, b in seen.where("chunk IS NOT NULL").groupBy("chunk").applyInPandas(_sum_counts, "chunk int, counts binary").collect():  # 4 MB in all, whatever the input
-        counts[k * CHUNK : (k + 1) * CHUNK] = np.frombuffer(b, np.int32)
-    shared = spark.sparkContext.broadcast(counts)
-    index = scratch.table(docs.mapInPandas(_index(width, percent, shared, classes.count()), "token long, key long, need int, n int"), "index")
-    lists = index.groupBy("token").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo < hi").select("token")
-    live = scratch.table(index.join(lists, "token").distinct(), "live")
-    scratch.drop("index")
-    size = live.groupBy("token").agg(F.count("*").alias("size"), F.min(F.xxhash64("key")).alias("least"))
-
-    few = live.join(size.where(F.col("size") <= FEW), "token")
+    extra = [f"carry_{k}" for k in range(len(carry))]
+    docs = docs.select(F.col(id_col).cast("long").alias("id"), *[F.col(c).cast("long").alias(n) for c, n in zip(carry, extra, strict=True)], F.col(text_col).cast("string").alias("text"))
+    longs, binary = ["id", *extra, "n"], pa.binary()
+    fields = [(c, pa.int64()) for c in longs] + [("digest", binary), ("key", pa.int64()), ("src", pa.int64()), ("tokens", binary), ("nums", binary), ("keys", binary)]
+    ddl = ", ".join(f"{n} {'long' if t == pa.int64() else 'binary'}" for n, t in fields)
+    seen = scratch.table(docs.mapInArrow(_profile(width, percent, pa.schema(fields)), ddl), "profile")
+    rows = seen.where("src IS NULL").select("id", *extra, "n", "digest", "key")
+    blocks = seen.where("src IS NOT NULL").select("src", "tokens", "nums", "keys")
+    classes, total = rows.where("digest IS NOT NULL").agg(F.count("*"), F.sum("n")).first()
+
+    asked = blocks.select("src", "tokens").mapInArrow(_ranges(max(1, -(-(total or 0) // RANGE_TOKENS))), "src long, part int, tokens binary, nums binary")
+    told = asked.groupBy("part").applyInPandas(_answer, PACKED)
+    both = blocks.select("src", F.lit(-1).alias("part"), "tokens", "nums", "keys").union(told)
+    index = both.groupBy("src").applyInPandas(_prefixes(percent, classes), "token long, key long, need int, n int, df long")
+    live = scratch.table(index.distinct(), "live")
+
+    often = live.where(F.col("df") > FEW).withColumn("salt", F.expr(f"cast(pmod(xxhash64(key, 11), {SALTS}) AS int)"))
+    size = often.groupBy("token").agg(F.count("*").alias("size"), F.min(F.xxhash64("key")).alias("least"))
+    sized = often.join(size.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["token", "salt"])
+    sized = scratch.table(sized.select("token", "key", "need", "n", "size", "least"), "sized")
+    few = live.where(F.col("df") <= FEW).select("token", "key", "need", "n").union(sized.where(F.col("size") <= FEW).select("token", "key", "need", "n"))
     pairs = (
         few.alias("x")
         .join(few.alias("y"), F.expr(f"x.token = y.token AND x.key < y.key AND 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"))
@@ -273,13 +367,21 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         .where("hits >= need")
         .select("a", "b")
     )
+    pairs = scratch.table(pairs, "pairs")
+    scratch.drop("live")
     groups = components(pairs, scratch, "candidates")
     cold = groups.select(F.col("component").alias("grp"), "node").union(groups.select("component", "component")).distinct().select(F.lit(0).alias("kind"), "grp", F.col("node").alias("key"))
-    hot = live.join(size.where(F.col("size") > FEW), "token").select(F.lit(1).alias("kind"), F.col("least").alias("grp"), "key").distinct()
+    hot = sized.where(F.col("size") > FEW).select(F.lit(1).alias("kind"), F.col("least").alias("grp"), "key").distinct()
     member = scratch.table(cold.union(hot), "members")
-    wanted = member.select("key").distinct().join(classes, "key").where("rep IS NOT NULL").select("key", F.col("rep").alias("id"))
-    sets = docs.join(wanted, "id").select("key", "text").mapInPandas(_sets(width), "key long, tokens binary")
-    sets = scratch.table(sets, "sets")
+    scratch.drop("sized", "candidates")
+
+    bits = np.zeros(1 << (BITS - 3), np.uint8)
+    for k, b in member.select("key").mapInPandas(_bits, "k int, b binary").groupBy("k").applyInPandas(_either, "k int, b binary").collect():  # 4 MB in all, whatever the input
+        bits[k : k + len(b)] = np.frombuffer(b, np.uint8)
+    found = blocks.select("tokens", "nums", "keys").mapInArrow(_sets(spark.sparkContext.broadcast(bits)), "key long, tokens binary")
+    sets = scratch.table(found.join(member.select("key").distinct(), "key", "left_semi"), "sets")
+    facts = scratch.table(rows, "rows")
+    scratch.drop("profile")
 
     group = member.groupBy("kind", "grp").agg(F.count("*").alias("m"), F.min("key").alias("lo"), F.max("key").alias("hi"))
     large = scratch.table(group.where(F.col("m") > BLOCK).withColumn("nb", F.expr(f"cast(ceil(m / {BLOCK}) AS int)")), "large")
@@ -288,26 +390,37 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     pivots = large.select("kind", "grp", F.explode(F.array("lo", "hi")).alias("key"), "nb").select("kind", "grp", "key", F.explode(F.expr("sequence(0, nb - 1)")).alias("i"))
     first = own.union(pivots).select("*", F.col("i").alias("j"), F.lit(0).alias("side"))
     links = scratch.table(first.join(sets, "key").groupBy(*at).applyInPandas(_verify(percent, True), "a long, b long"), "links")
-    joined = components(links, scratch, "links_cc")
-
-    of = _of_group(member, large.select("kind", "grp", "nb"), "inner").join(joined.select(F.col("node").alias("key"), "component"), "key", "left")
-    of = scratch.table(of.select("kind", "grp", "key", "nb", F.coalesce("component", "key").alias("part")), "parts")
-    parts = of.groupBy("kind", "grp", "part").agg(F.count("*").alias("m"))
-    rest = parts.groupBy("kind", "grp").agg(F.max_by("part", F.struct("m", "part")).alias("main"), (F.sum("m") - F.max("m")).alias("left"))
-    rest = scratch.table(rest.where("left > 0").select("kind", "grp", "main", F.expr(f"cast(ceil(left / {BLOCK}) AS int)").alias("nr")), "rest")
-    if not rest.isEmpty():
-        open_ = _of_group(of, rest, "inner")
-        i, j = F.expr("cast(pmod(xxhash64(key, 5), nr) AS int)").alias("i"), F.expr("cast(pmod(xxhash64(key, 7), nb) AS int)").alias("j")
-        rows_ = open_.where("part <> main").select("kind", "grp", "key", i, F.explode(F.expr("sequence(0, nb - 1)")).alias("j"), F.lit(0).alias("side"))
-        columns = open_.select("kind", "grp", "key", F.explode(F.expr("sequence(0, nr - 1)")).alias("i"), j, F.lit(1).alias("side"))
-        more = rows_.union(columns).join(sets, "key").groupBy(*at).applyInPandas(_verify(percent, False), "a long, b long")
-        links = scratch.table(links.union(more), "all_links")
-        joined = components(links, scratch, "all_links_cc")
-
-    mine = classes.join(joined.select(F.col("node").alias("key"), "component"), "key", "left")
-    named = mine.withColumn("grp", F.coalesce("component", "key")).select("digest", "grp", "rep")
-    low = named.groupBy("grp").agg(F.min("rep").alias("component_id"))
-    of = named.join(low, "grp").select("digest", "component_id")
-    out = rows.join(of, "digest", "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
-    return keep(out, scratch)
 
+    if not large.isEmpty():
+        joined = components(links, scratch, "links_cc")
+        part = joined.select(F.col("node").alias("key"), "component")
+        of = _of_group(member, large.select("kind", "grp", "nb"), "inner").join(part, "key", "left")
+        of = scratch.table(of.select("kind", "grp", "key", "nb", F.coalesce("component", "key").alias("part")), "parts")
+        open_pairs = pairs.join(of.where("kind = 0").select(F.col("key").alias("a"), F.col("part").alias("pa")), "a").join(of.where("kind = 0").select(F.col("key").alias("b"), F.col("part").alias("pb")), "b")
+        open_pairs = open_pairs.where("pa <> pb").select("a", "b").join(sets.select(F.col("key").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("tokens").alias("y")), "b")
+        links = links.union(scratch.table(open_pairs.mapInPandas(_pairs(percent), "a long, b long"), "pair_links"))
+        hot = of.where("kind = 1")
+        parts = hot.groupBy("kind", "grp", "part").agg(F.count("*").alias("m"))
+        rest = parts.groupBy("kind", "grp").agg(F.max_by("part", F.struct("m", "part")).alias("main"), (F.sum("m") - F.max("m")).alias("left"))
+        rest = scratch.table(rest.where("left > 0").select("kind", "grp", "main", F.expr(f"cast(ceil(left / {BLOCK}) AS int)").alias("nr")), "rest")
+        if not rest.isEmpty():
+            open_ = _of_group(hot, rest, "inner")
+            i, j = F.expr("cast(pmod(xxhash64(key, 5), nr) AS int)").alias("i"), F.expr("cast(pmod(xxhash64(key, 7), nb) AS int)").alias("j")
+            rows_ = open_.where("part <> main").select("kind", "grp", "key", i, F.explode(F.expr("sequence(0, nb - 1)")).alias("j"), F.lit(0).alias("side"))
+            columns = open_.select("kind", "grp", "key", F.explode(F.expr("sequence(0, nr - 1)")).alias("i"), j, F.lit(1).alias("side"))
+            more = rows_.union(columns).join(sets, "key").groupBy(*at).applyInPandas(_verify(percent, False), "a long, b long")
+            links = links.union(scratch.table(more, "block_links"))
+    joined = components(links, scratch, "all_cc")
+    scratch.drop("sets", "members", "parts", "pairs")
+
+    # rows -> class -> component; only classes with a link to another are joined, texts without shingles are not
+    low = facts.where("digest IS NOT NULL").groupBy("digest", "key").agg(F.min("id").alias("rep"))
+    named = low.join(joined.select(F.col("node").alias("key"), "component"), "key", "left").select("digest", F.coalesce("component", "key").alias("grp"), "rep")
+    named = scratch.table(named, "named")
+    of = named.join(named.groupBy("grp").agg(F.min("rep").alias("component_id")), "grp").select("digest", "component_id")
+    shown = ["id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), *[F.col(n).alias(c) for n, c in zip(extra, carry, strict=True)]]
+    out = facts.where("digest IS NOT NULL").join(of, "digest", "left").select(*shown)
+    none = facts.where("digest IS NULL").withColumn("component_id", F.lit(None).cast("long")).select(*shown)
+    out = scratch.table(out.union(none), "result")
+    scratch.only("result")
+    return keep(out, scratch)
