@@ -332,9 +332,10 @@ def _of_group(member: DataFrame, facts: DataFrame, how: str) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, carry: tuple[str, ...] = ()) -> DataFrame:
-    """-> ``(id, n_shingles, component_id, *carry)``, a row for each row of ``docs``; see the module's text.
+    """-> ``(id, n_shingles, component_id, component_key, *carry)``, a row for each row of ``docs``; see the module's text.
 
-    ``component_id`` is the smallest id that links reach.  ``carry`` names further columns of ``docs`` (longs) to keep.
+    ``component_id`` is the smallest id that links reach.  ``component_key`` tells components apart even where ids
+    repeat or are null; rows without shingles have none.  ``carry`` names further columns of ``docs`` (longs) to keep.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
@@ -417,10 +418,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     low = facts.where("digest IS NOT NULL").groupBy("digest", "key").agg(F.min("id").alias("rep"))
     named = low.join(joined.select(F.col("node").alias("key"), "component"), "key", "left").select("digest", F.coalesce("component", "key").alias("grp"), "rep")
     named = scratch.table(named, "named")
-    of = named.join(named.groupBy("grp").agg(F.min("rep").alias("component_id")), "grp").select("digest", "component_id")
-    shown = ["id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), *[F.col(n).alias(c) for n, c in zip(extra, carry, strict=True)]]
+    of = named.join(named.groupBy("grp").agg(F.min("rep").alias("component_id")), "grp").select("digest", "component_id", F.col("grp").alias("component_key"))
+    shown = ["id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), "component_key", *[F.col(n).alias(c) for n, c in zip(extra, carry, strict=True)]]
     out = facts.where("digest IS NOT NULL").join(of, "digest", "left").select(*shown)
-    none = facts.where("digest IS NULL").withColumn("component_id", F.lit(None).cast("long")).select(*shown)
+    none = facts.where("digest IS NULL").withColumns({c: F.lit(None).cast("long") for c in ("component_id", "component_key")}).select(*shown)
     out = scratch.table(out.union(none), "result")
     scratch.only("result")
     return keep(out, scratch)

@@ -56,7 +56,7 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = jaccard_components(table(spark, sf_dir, "documents"), width=3, percent=90)
-    return out.withColumnRenamed("id", "doc_id")
+    return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
 
 
 @query(duck_sql())
