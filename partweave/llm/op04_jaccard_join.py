@@ -6,8 +6,8 @@ Documents are compared by their sets of distinct word shingles; two link when
 1. Documents with equal sets form a class (128-bit set digest); only classes are compared.  Sets are
    computed once and stored packed, a block of documents in a row.
 2. Each block asks, per range of token values, how many documents hold its tokens.  A token counts once
-   per block in that exchange, so one held by a third of all documents is a number per block.  Tokens of one
-   document alone are not answered: they come first in the rare-first order and match nothing.
+   per block in that exchange, so one held by a third of all documents is a number per block; half of its bits and
+   a byte travel, and a byte comes back.  Tokens of one document alone come first in the rare-first order and match nothing.
 3. Each class indexes the repeated tokens in a prefix of its ordered tokens.  With ``t = ceil(percent/100 * n)``
    two linked classes share at least ``l`` of their first ``n - t + l`` tokens, for any ``l``.  Each class picks
    the ``l`` with the least estimated cost (index rows plus expected false candidates), and a pair is
@@ -56,6 +56,7 @@ SALTS = 16  # parts into which the classes of a group are dealt when looking up
 REMEMBERED = 200_000  # digests a task remembers to skip its own copies; more copies only cost time
 BLOCK_TOKENS, BLOCK_DOCS = 1_000_000, 16_384  # of a block of stored sets
 RANGE_TOKENS = 1_000_000  # tokens of a range, about
+EXACT = 64  # numbers of documents up to here are kept exact, greater ones in steps
 BITS = 25  # of the fixed-size filter that keeps most sets without candidates out of the exchange
 
 PACKED = "src long, part int, tokens binary, nums binary, keys binary"
@@ -117,22 +118,32 @@ def _profile(width: int, percent: int, schema: pa.Schema):
     return run
 
 
-def _ranges(n: int):
-    """Blocks -> their distinct tokens with the number of holders, a row per range of token values."""
+def _short(tokens: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray]:
+    """A block's distinct short tokens, sorted, and the place of each token among them.
+
+    A short token is the range of the token's upper half above its lower half.  Two tokens seldom share one;
+    where they do, their numbers of documents are summed, which changes the order for all sets alike.
+    """
+    part = ((tokens >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
+    return np.unique(part << np.uint64(32) | tokens & np.uint64(2**32 - 1), return_inverse=True)
+
+
+def _ranges(ranges: int):
+    """Blocks -> the lower halves of their short tokens with the number of holders, a row per range."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for src, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                tokens, count = np.unique(np.frombuffer(raw.as_buffer(), np.uint64), return_counts=True)
-                part = ((tokens >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)
+                short, place = _short(np.frombuffer(raw.as_buffer(), np.uint64), ranges)
+                count = np.minimum(np.bincount(place, minlength=len(short)), 255).astype(np.uint8)
+                part, low = short >> np.uint64(32), short.astype(np.uint32)
                 at = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
-                ends = np.append(at[1:], len(tokens))
-                count = count.astype(np.uint16)
+                ends = np.append(at[1:], len(short))
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.full(len(at), src), pa.int64()),
                         pa.array(part[at].astype(np.int32)),
-                        pa.array([tokens[i:j].tobytes() for i, j in zip(at, ends, strict=True)], pa.binary()),
+                        pa.array([low[i:j].tobytes() for i, j in zip(at, ends, strict=True)], pa.binary()),
                         pa.array([count[i:j].tobytes() for i, j in zip(at, ends, strict=True)], pa.binary()),
                     ],
                     ["src", "part", "tokens", "nums"],
@@ -141,26 +152,28 @@ def _ranges(n: int):
     return run
 
 
+def grade(df: np.ndarray) -> np.ndarray:
+    """Numbers of documents in a byte: exact to ``EXACT``, then eight steps to each doubling."""
+    return np.minimum(np.where(df <= EXACT, df, EXACT + np.floor(8 * np.log2(np.maximum(df, 1) / EXACT))), 255).astype(np.uint8)
+
+
+#: the least number of documents of each grade
+GRADES = np.array([k if k <= EXACT else EXACT * 2 ** ((k - EXACT) / 8) for k in range(256)]).astype(np.int64)
+
+
 def _answer(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The requests of a range -> for each block its tokens of two documents or more, with their number."""
-    parts = [np.frombuffer(b, np.uint64) for b in pdf["tokens"]]
+    """The requests of a range -> for each block the grades of its tokens, in the order it sent them."""
+    parts = [np.frombuffer(b, np.uint32) for b in pdf["tokens"]]
     tokens = np.concatenate(parts)
-    count = np.concatenate([np.frombuffer(b, np.uint16) for b in pdf["nums"]]).astype(np.int64)
+    count = np.concatenate([np.frombuffer(b, np.uint8) for b in pdf["nums"]]).astype(np.int64)
     order = np.argsort(tokens, kind="stable")
     ranked = tokens[order]
     start = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
-    total = np.add.reduceat(count[order], start)
-    df = np.empty(len(tokens), np.int64)
-    df[order] = np.repeat(total, np.diff(np.append(start, len(ranked))))
-    df = np.minimum(df, 2**32 - 1).astype(np.uint32)
-    out, at = [], 0
-    for src, part, own in zip(pdf["src"], pdf["part"], parts, strict=True):
-        mine = df[at : at + len(own)]
-        at += len(own)
-        again = mine > 1
-        if again.any():
-            out.append((src, part, own[again].tobytes(), mine[again].tobytes(), None))
-    return pd.DataFrame(out, columns=["src", "part", "tokens", "nums", "keys"])
+    graded = np.empty(len(tokens), np.uint8)
+    graded[order] = np.repeat(grade(np.add.reduceat(count[order], start)), np.diff(np.append(start, len(ranked))))
+    at = np.concatenate(([0], np.cumsum([len(p) for p in parts])))
+    own = [graded[i:j].tobytes() for i, j in zip(at[:-1], at[1:], strict=True)]
+    return pd.DataFrame({"src": pdf["src"], "part": pdf["part"], "tokens": None, "nums": own, "keys": None})
 
 
 def needs(n: np.ndarray, repeated: np.ndarray, before, percent: int, classes: int) -> np.ndarray:
@@ -181,7 +194,7 @@ def needs(n: np.ndarray, repeated: np.ndarray, before, percent: int, classes: in
     return at
 
 
-def _prefixes(percent: int, classes: int):
+def _prefixes(percent: int, classes: int, ranges: int):
     """A block's sets and answers -> index rows ``(token, key, need, n, df)`` of repeated prefix tokens."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -189,15 +202,11 @@ def _prefixes(percent: int, classes: int):
         told = pdf[pdf["part"] >= 0].sort_values("part")
         tokens, lens = np.frombuffer(own["tokens"], np.uint64), np.frombuffer(own["nums"], np.uint32).astype(np.int64)
         keys = np.frombuffer(own["keys"], np.int64)
-        if not len(told):
-            return pd.DataFrame({"token": [], "key": [], "need": [], "n": [], "df": []}).astype("int64")
-        known = np.concatenate([np.frombuffer(b, np.uint64) for b in told["tokens"]])
-        df = np.concatenate([np.frombuffer(b, np.uint32) for b in told["nums"]])
-        at = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
-        hit = known[at] == tokens
-        doc, token, df = np.repeat(np.arange(len(lens)), lens)[hit], tokens[hit], df[at[hit]].astype(np.int64)
-        order = np.lexsort((token, df, doc))
-        doc, token, df = doc[order], token[order], df[order]
+        graded = np.concatenate([np.frombuffer(b, np.uint8) for b in told["nums"]])[_short(tokens, ranges)[1]]
+        hit = graded > 1
+        doc, token, graded = np.repeat(np.arange(len(lens)), lens)[hit], tokens[hit], graded[hit]
+        order = np.lexsort((token, graded, doc))
+        doc, token, df = doc[order], token[order], GRADES[graded[order]]
         repeated = np.bincount(doc, minlength=len(lens))
         first = np.concatenate(([0], np.cumsum(repeated)[:-1]))
         sums = np.concatenate(([0], np.cumsum(df - 1)))
@@ -349,10 +358,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     blocks = seen.where("src IS NOT NULL").select("src", "tokens", "nums", "keys")
     classes, total = rows.where("digest IS NOT NULL").agg(F.count("*"), F.sum("n")).first()
 
-    asked = blocks.select("src", "tokens").mapInArrow(_ranges(max(1, -(-(total or 0) // RANGE_TOKENS))), "src long, part int, tokens binary, nums binary")
+    ranges = max(1, -(-(total or 0) // RANGE_TOKENS))
+    asked = blocks.select("src", "tokens").mapInArrow(_ranges(ranges), "src long, part int, tokens binary, nums binary")
     told = asked.groupBy("part").applyInPandas(_answer, PACKED)
     both = blocks.select("src", F.lit(-1).alias("part"), "tokens", "nums", "keys").union(told)
-    index = both.groupBy("src").applyInPandas(_prefixes(percent, classes), "token long, key long, need int, n int, df long")
+    index = both.groupBy("src").applyInPandas(_prefixes(percent, classes, ranges), "token long, key long, need int, n int, df long")
     live = scratch.table(index.distinct(), "live")
 
     often = live.where(F.col("df") > FEW).withColumn("salt", F.expr(f"cast(pmod(xxhash64(key, 11), {SALTS}) AS int)"))
