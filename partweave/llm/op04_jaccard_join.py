@@ -4,10 +4,10 @@ Documents are compared by their sets of distinct word shingles; two link when
 ``100 * |A & B| >= percent * |A | B|``.
 
 1. Documents with equal sets form a class (128-bit set digest); only classes are compared.  Sets are
-   computed once and stored packed, a block of documents in a row.
-2. Each block asks, per range of token values, how many documents hold its tokens.  A token counts once
-   per block in that exchange, so one held by a third of all documents is a number per block; half of its bits and
-   a byte travel, and a byte comes back.  Tokens of one document alone come first in the rare-first order and match nothing.
+   computed anew from the texts by each step that needs them, which takes less than storing them.
+2. Blocks of documents ask, per range of token values, how many documents hold their tokens.  A token counts once
+   per block in that exchange, so one held by a third of all documents is a number per block; a byte
+   comes back for each.  Tokens of one document alone come first in the rare-first order and match nothing.
 3. Each class indexes the repeated tokens in a prefix of its ordered tokens.  With ``t = ceil(percent/100 * n)``
    two linked classes share at least ``l`` of their first ``n - t + l`` tokens, for any ``l``.  Each class picks
    the ``l`` with the least estimated cost (index rows plus expected false candidates), and a pair is
@@ -42,6 +42,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,7 +55,7 @@ BLOCK = 128  # classes of a block, or on each side of a rectangular one
 MOST_MATCHES = 8
 SALTS = 16  # parts into which the classes of a group are dealt when looking up what holds for the group
 REMEMBERED = 200_000  # digests a task remembers to skip its own copies; more copies only cost time
-BLOCK_TOKENS, BLOCK_DOCS = 1_000_000, 16_384  # of a block of stored sets
+BLOCK_TOKENS, BLOCK_DOCS = 2_000_000, 16_384  # of a block
 RANGE_TOKENS = 1_000_000  # tokens of a range, about
 EXACT = 64  # numbers of documents up to here are kept exact, greater ones in steps
 BITS = 25  # of the fixed-size filter that keeps most sets without candidates out of the exchange
@@ -71,83 +72,93 @@ def lowest(n, percent: int):
     return -(-percent * n // 100)
 
 
-def _profile(width: int, percent: int, schema: pa.Schema):
-    """Per document (first columns as given): size, set digest and its first 64 bits.  Per block: its sets."""
-    given = len(schema) - 7  # columns that come with the text, which is the last one
+def _new_sets(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(class key, set) of the texts in the last column that another set can link to, a task's own copies once."""
+    seen: set[int] = set()
+    for batch in batches:
+        texts = batch.column(batch.num_columns - 1).to_pylist()
+        for a, b in chunks(texts, 1_000_000):
+            for tokens in shingle_sets(texts[a:b], width):
+                n = len(tokens)
+                if not n or (lowest(n, percent) == n and 100 * n // percent == n):
+                    continue
+                key = _first(digest(tokens))
+                if key not in seen:
+                    if len(seen) < REMEMBERED:
+                        seen.add(key)
+                    yield key, tokens
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
-        held: list[np.ndarray] = []
-        keys: list[int] = []
-        size, number = 0, TaskContext.get().partitionId() << 32
 
-        def block() -> pa.RecordBatch:
-            nonlocal number
-            lens = np.array([len(s) for s in held], np.uint32)
-            row = [None] * (given + 3) + [number, np.concatenate(held).tobytes(), lens.tobytes(), np.array(keys, np.int64).tobytes()]
-            number += 1
-            held.clear()
-            keys.clear()
-            return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, schema, strict=True)], schema=schema)
+def _facts(width: int):
+    """Per document (first columns as given): size, set digest and its first 64 bits."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            given = batch.num_columns - 1
             texts = batch.column(given).to_pylist()
             for a, b in chunks(texts, 1_000_000):
-                sizes, marks = [], []
-                for tokens in shingle_sets(texts[a:b], width):
-                    n = len(tokens)
-                    mark = digest(tokens) if n else None
-                    sizes.append(n)
-                    marks.append(mark)
-                    if not n or mark in seen or (lowest(n, percent) == n and 100 * n // percent == n):
-                        continue  # a copy, or a set that only an equal one can link to
-                    if len(seen) < REMEMBERED:
-                        seen.add(mark)
-                    held.append(tokens)
-                    keys.append(_first(mark))
-                    size += n
-                    if size >= BLOCK_TOKENS or len(held) >= BLOCK_DOCS:
-                        yield block()
-                        size = 0
-                m = b - a
-                own = [pa.array(sizes, pa.int64()), pa.array(marks, pa.binary()), pa.array([None if d is None else _first(d) for d in marks], pa.int64())]
-                yield pa.RecordBatch.from_arrays([batch.column(k).slice(a, m) for k in range(given)] + own + [pa.nulls(m, f.type) for f in list(schema)[-4:]], schema=schema)
-        if held:
-            yield block()
+                sets = shingle_sets(texts[a:b], width)
+                marks = [digest(t) if len(t) else None for t in sets]
+                own = [pa.array([len(t) for t in sets], pa.int64()), pa.array(marks, pa.binary()), pa.array([None if d is None else _first(d) for d in marks], pa.int64())]
+                yield pa.RecordBatch.from_arrays([batch.column(k).slice(a, b - a) for k in range(given)] + own, [*batch.schema.names[:given], "n", "digest", "key"])
 
     return run
 
 
-def _short(tokens: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray]:
-    """A block's distinct short tokens, sorted, and the place of each token among them.
+def _pack(ascending: np.ndarray) -> bytes:
+    """The differences of ascending numbers, all lowest bytes first, so that the many zero bytes stand together."""
+    d = np.diff(ascending, prepend=ascending.dtype.type(0))
+    return d.view(np.uint8).reshape(len(d), d.itemsize).T.tobytes()
 
-    A short token is the range of the token's upper half above its lower half.  Two tokens seldom share one;
-    where they do, their numbers of documents are summed, which changes the order for all sets alike.
-    """
-    part = ((tokens >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
-    return np.unique(part << np.uint64(32) | tokens & np.uint64(2**32 - 1), return_inverse=True)
 
+def _unpack(raw: bytes, kind) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.cumsum(np.frombuffer(raw, np.uint8).reshape(size, -1).T.copy().view(kind).ravel(), dtype=kind)
 
-def _ranges(ranges: int):
-    """Blocks -> the lower halves of their short tokens with the number of holders, a row per range."""
+
+def _blocks(width: int, percent: int, ranges: int, asks: bool):
+    """Texts -> blocks of sets: what each asks of the ranges (``asks``), or the block itself.
+
+    Tokens are short here: the range of the token's upper half above its lower half.  Two tokens seldom share one;
+    where they do, their numbers of documents are summed, which changes the order for all sets alike, and
+    they count as a shared token of candidates, which are verified on whole sets.
+    """
+    schema = pa.schema([("src", pa.int64()), ("part", pa.int32()), ("tokens", pa.binary()), ("nums", pa.binary()), ("keys", pa.binary())])
+
+    def block(src: int, held: list[np.ndarray], keys: list[int]) -> pa.RecordBatch:
+        lens = np.array([len(t) for t in held], np.uint32)
+        tokens = np.concatenate(held)
+        part = ((tokens >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
+        tokens = part << np.uint64(32) | tokens & np.uint64(2**32 - 1)
+        order = np.argsort(tokens, kind="stable")
+        tokens = tokens[order]
+        first = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1])))
+        count, short = np.diff(np.append(first, len(tokens))), tokens[first]
+        if not asks:
+            doc = np.repeat(np.arange(len(held), dtype=np.uint16), lens)[order]
+            nums = np.uint64([len(short), len(held)]).tobytes() + count.astype(np.uint16).tobytes() + lens.tobytes() + doc.tobytes()
+            rows = [[src], [-1], [_pack(short)], [nums], [np.array(keys, np.int64).tobytes()]]
+        else:
+            part, low = short >> np.uint64(32), short.astype(np.uint32)
+            at = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+            cuts = list(zip(at, np.append(at[1:], len(short)), strict=True))
+            count = np.minimum(count, 255).astype(np.uint8)
+            rows = [np.full(len(at), src), part[at].astype(np.int32), [_pack(low[i:j]) for i, j in cuts], [count[i:j].tobytes() for i, j in cuts], [None] * len(at)]
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, schema, strict=True)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for src, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                short, place = _short(np.frombuffer(raw.as_buffer(), np.uint64), ranges)
-                count = np.minimum(np.bincount(place, minlength=len(short)), 255).astype(np.uint8)
-                part, low = short >> np.uint64(32), short.astype(np.uint32)
-                at = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
-                ends = np.append(at[1:], len(short))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.full(len(at), src), pa.int64()),
-                        pa.array(part[at].astype(np.int32)),
-                        pa.array([low[i:j].tobytes() for i, j in zip(at, ends, strict=True)], pa.binary()),
-                        pa.array([count[i:j].tobytes() for i, j in zip(at, ends, strict=True)], pa.binary()),
-                    ],
-                    ["src", "part", "tokens", "nums"],
-                )
+        held: list[np.ndarray] = []
+        keys: list[int] = []
+        size, src = 0, TaskContext.get().partitionId() << 32
+        for key, tokens in _new_sets(batches, width, percent):
+            held.append(tokens)
+            keys.append(key)
+            size += len(tokens)
+            if size >= BLOCK_TOKENS or len(held) >= BLOCK_DOCS:
+                yield block(src, held, keys)
+                held, keys, size, src = [], [], 0, src + 1
+        if held:
+            yield block(src, held, keys)
 
     return run
 
@@ -163,7 +174,7 @@ GRADES = np.array([k if k <= EXACT else EXACT * 2 ** ((k - EXACT) / 8) for k in
 
 def _answer(pdf: pd.DataFrame) -> pd.DataFrame:
     """The requests of a range -> for each block the grades of its tokens, in the order it sent them."""
-    parts = [np.frombuffer(b, np.uint32) for b in pdf["tokens"]]
+    parts = [_unpack(b, np.uint32) for b in pdf["tokens"]]
     tokens = np.concatenate(parts)
     count = np.concatenate([np.frombuffer(b, np.uint8) for b in pdf["nums"]]).astype(np.int64)
     order = np.argsort(tokens, kind="stable")
@@ -194,17 +205,19 @@ def needs(n: np.ndarray, repeated: np.ndarray, before, percent: int, classes: in
     return at
 
 
-def _prefixes(percent: int, classes: int, ranges: int):
-    """A block's sets and answers -> index rows ``(token, key, need, n, df)`` of repeated prefix tokens."""
+def _prefixes(percent: int, classes: int):
+    """A block and its answers -> index rows ``(token, key, need, n, df)`` of repeated prefix tokens."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         own = pdf[pdf["part"] < 0].iloc[0]
         told = pdf[pdf["part"] >= 0].sort_values("part")
-        tokens, lens = np.frombuffer(own["tokens"], np.uint64), np.frombuffer(own["nums"], np.uint32).astype(np.int64)
-        keys = np.frombuffer(own["keys"], np.int64)
-        graded = np.concatenate([np.frombuffer(b, np.uint8) for b in told["nums"]])[_short(tokens, ranges)[1]]
+        keys, nums = np.frombuffer(own["keys"], np.int64), own["nums"]
+        u, m = (int(x) for x in np.frombuffer(nums, np.uint64, 2))
+        count, lens, doc = np.frombuffer(nums, np.uint16, u, 16), np.frombuffer(nums, np.uint32, m, 16 + 2 * u).astype(np.int64), np.frombuffer(nums, np.uint16, -1, 16 + 2 * u + 4 * m)
+        graded = np.repeat(np.concatenate([np.frombuffer(b, np.uint8) for b in told["nums"]]), count)
+        token = np.repeat(_unpack(own["tokens"], np.uint64), count)
         hit = graded > 1
-        doc, token, graded = np.repeat(np.arange(len(lens)), lens)[hit], tokens[hit], graded[hit]
+        doc, token, graded = doc[hit].astype(np.int64), token[hit], graded[hit]
         order = np.lexsort((token, graded, doc))
         doc, token, df = doc[order], token[order], GRADES[graded[order]]
         repeated = np.bincount(doc, minlength=len(lens))
@@ -236,23 +249,31 @@ def _either(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"k": pdf["k"].iloc[:1].to_numpy(), "b": [out.tobytes()]})
 
 
-def _sets(shared):
-    """Blocks -> (class key, its token set) of the classes that may be among those of the bit array."""
+def _sets(width: int, percent: int, shared):
+    """Texts -> (class key, its token set) of the classes that may be among those of the bit array."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
-        for batch in batches:
-            for raw, nums, names in zip(*(batch.column(k) for k in range(3)), strict=True):
-                tokens, keys = np.frombuffer(raw.as_buffer(), np.uint64), np.frombuffer(names.as_buffer(), np.int64)
-                ends = np.cumsum(np.frombuffer(nums.as_buffer(), np.uint32), dtype=np.int64)
-                slot = keys.view(np.uint64) >> np.uint64(64 - BITS)
-                hit = np.flatnonzero(bits[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8) & 1)
-                for k in range(0, len(hit), 1024):
-                    part = hit[k : k + 1024]
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[part]), pa.array([tokens[(ends[i - 1] if i else 0) : ends[i]].tobytes() for i in part], pa.binary())], ["key", "tokens"])
+        keys: list[int] = []
+        sets: list[bytes] = []
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sets, pa.binary())], ["key", "tokens"])
+
+        for key, tokens in _new_sets(batches, width, percent):
+            slot = (key & (2**64 - 1)) >> (64 - BITS)
+            if bits[slot >> 3] >> (slot & 7) & 1:
+                keys.append(key)
+                sets.append(tokens.tobytes())
+                if len(keys) >= 1024:
+                    yield out()
+                    keys, sets = [], []
+        if keys:
+            yield out()
 
     return run
 
+
 def linked(sets: list[np.ndarray], split: int, percent: int) -> list[tuple[int, int]]:
     """Spanning links of a block: pairs (i < split <= j), or all pairs i < j where split is 0.
 
@@ -350,19 +371,18 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     scratch = Scratch(spark)
     extra = [f"carry_{k}" for k in range(len(carry))]
     docs = docs.select(F.col(id_col).cast("long").alias("id"), *[F.col(c).cast("long").alias(n) for c, n in zip(carry, extra, strict=True)], F.col(text_col).cast("string").alias("text"))
-    longs, binary = ["id", *extra, "n"], pa.binary()
-    fields = [(c, pa.int64()) for c in longs] + [("digest", binary), ("key", pa.int64()), ("src", pa.int64()), ("tokens", binary), ("nums", binary), ("keys", binary)]
-    ddl = ", ".join(f"{n} {'long' if t == pa.int64() else 'binary'}" for n, t in fields)
-    seen = scratch.table(docs.mapInArrow(_profile(width, percent, pa.schema(fields)), ddl), "profile")
-    rows = seen.where("src IS NULL").select("id", *extra, "n", "digest", "key")
-    blocks = seen.where("src IS NOT NULL").select("src", "tokens", "nums", "keys")
-    classes, total = rows.where("digest IS NOT NULL").agg(F.count("*"), F.sum("n")).first()
-
-    ranges = max(1, -(-(total or 0) // RANGE_TOKENS))
-    asked = blocks.select("src", "tokens").mapInArrow(_ranges(ranges), "src long, part int, tokens binary, nums binary")
-    told = asked.groupBy("part").applyInPandas(_answer, PACKED)
-    both = blocks.select("src", F.lit(-1).alias("part"), "tokens", "nums", "keys").union(told)
-    index = both.groupBy("src").applyInPandas(_prefixes(percent, classes, ranges), "token long, key long, need int, n int, df long")
+    try:
+        docs.select("_metadata.row_index")
+    except AnalysisException:  # rows that do not come straight from files could come in another order each time
+        docs = scratch.table(docs, "docs")
+    facts = ", ".join(f"{c} long" for c in ["id", *extra, "n"]) + ", digest binary, key long"
+    facts = scratch.table(docs.mapInArrow(_facts(width), facts), "rows")
+    classes, total = facts.where("digest IS NOT NULL").agg(F.count("*"), F.sum("n")).first()
+
+    texts, ranges = docs.select("text"), max(1, -(-(total or 0) // RANGE_TOKENS))
+    told = texts.mapInArrow(_blocks(width, percent, ranges, True), PACKED).groupBy("part").applyInPandas(_answer, PACKED)
+    both = texts.mapInArrow(_blocks(width, percent, ranges, False), PACKED).union(told)
+    index = both.groupBy("src").applyInPandas(_prefixes(percent, classes), "token long, key long, need int, n int, df long")
     live = scratch.table(index.distinct(), "live")
 
     often = live.where(F.col("df") > FEW).withColumn("salt", F.expr(f"cast(pmod(xxhash64(key, 11), {SALTS}) AS int)"))
@@ -389,10 +409,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     bits = np.zeros(1 << (BITS - 3), np.uint8)
     for k, b in member.select("key").mapInPandas(_bits, "k int, b binary").groupBy("k").applyInPandas(_either, "k int, b binary").collect():  # 4 MB in all, whatever the input
         bits[k : k + len(b)] = np.frombuffer(b, np.uint8)
-    found = blocks.select("tokens", "nums", "keys").mapInArrow(_sets(spark.sparkContext.broadcast(bits)), "key long, tokens binary")
-    sets = scratch.table(found.join(member.select("key").distinct(), "key", "left_semi"), "sets")
-    facts = scratch.table(rows, "rows")
-    scratch.drop("profile")
+    found = texts.mapInArrow(_sets(width, percent, spark.sparkContext.broadcast(bits)), "key long, tokens binary")
+    sets = scratch.table(found.join(member.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"]), "sets")
 
     group = member.groupBy("kind", "grp").agg(F.count("*").alias("m"), F.min("key").alias("lo"), F.max("key").alias("hi"))
     large = scratch.table(group.where(F.col("m") > BLOCK).withColumn("nb", F.expr(f"cast(ceil(m / {BLOCK}) AS int)")), "large")
