@@ -55,7 +55,7 @@ BLOCK = 128  # classes of a block, or on each side of a rectangular one
 MOST_MATCHES = 8
 SALTS = 16  # parts into which the classes of a group are dealt when looking up what holds for the group
 REMEMBERED = 200_000  # digests a task remembers to skip its own copies; more copies only cost time
-BLOCK_TOKENS, BLOCK_DOCS = 2_000_000, 16_384  # of a block
+BLOCK_TOKENS, BLOCK_DOCS = 500_000, 16_384  # of a block
 RANGE_TOKENS = 1_000_000  # tokens of a range, about
 EXACT = 64  # numbers of documents up to here are kept exact, greater ones in steps
 BITS = 25  # of the fixed-size filter that keeps most sets without candidates out of the exchange
