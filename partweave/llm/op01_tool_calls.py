@@ -5,13 +5,15 @@ An assistant message may be a JSON object with ``tool_calls``: a list of ``{"id"
 Messages, calls and results become items, one row each.  Results and calls are hash-joined by
 conversation and identifier; a call whose arguments hold ``{"$ref": id}`` depends on that call.  Items
 are put in order by level: an item's level is one more than the highest level it depends on, found
-without a limit on rounds: chains of calls with one reference each are followed by doubling steps, calls
+without a limit on rounds; chains of calls with one reference each are followed by doubling steps, calls
 with more are placed round by round.  So a conversation of any length is never gathered in one task.  ``order by
-conv_id, turn_level, level, turn, item`` is a topological order of a conversation.  Arguments are checked against
+conv_id, level, turn, item`` is a topological order of a conversation; ``turn_level`` is the turn from which a result
+has its call.  Arguments are checked against
 a schema per tool and every item is written as canonical JSON (sorted keys, no white space, UTF-8).
 
 Defined cases: a message that is no such JSON is a plain message; null role, text or turn stay null;
-of calls with one identifier the first in (turn, item) is linked, the others are ``duplicate``; a
+a call without a text as identifier is ``unlinked``; NaN and Infinity are no JSON; rows without conversation are one;
+of calls with one identifier the first in (turn, item) is linked, the others are ``duplicate`` and their references do not count; a
 result without a call is ``orphan``, a call without result ``open``; calls on a cycle of references,
 or that depend on one, are ``cycle`` and keep level 0; equal messages stay apart; an empty table gives an empty result.
 """
@@ -41,11 +43,15 @@ def canonical(value) -> str:
     return text.encode("utf-8", "replace").decode()
 
 
+def _no_number(name: str):
+    raise ValueError(f"{name} is no JSON")
+
+
 def _object(text) -> dict | None:
     if not text or not text.lstrip().startswith("{"):
         return None
     try:
-        got = json.loads(text)
+        got = json.loads(text, parse_constant=_no_number)
     except (ValueError, RecursionError):
         return None
     return got if isinstance(got, dict) else None
@@ -57,7 +63,7 @@ def check(value, schema: dict, at: str = "$") -> str | None:
         return None
     kind = schema.get("type")
     number = isinstance(value, (int, float)) and not isinstance(value, bool)
-    fits = number and (kind == "number" or float(value).is_integer()) if kind in ("number", "integer") else isinstance(value, TYPES.get(kind, object))
+    fits = number and (kind == "number" or isinstance(value, int) or value.is_integer()) if kind in ("number", "integer") else isinstance(value, TYPES.get(kind, object))
     if not fits:
         return f"{at}: not {kind}"
     if "enum" in schema and value not in schema["enum"]:
@@ -97,7 +103,7 @@ def items(role, text, schemas: dict) -> Iterator[tuple]:
     """(item, kind, call_id, refs, valid, error, json) of one message."""
     got = _object(text) if role in ("assistant", "tool") else None
     calls = got.get("tool_calls") if got and role == "assistant" else None
-    if not (isinstance(calls, list) and calls and all(isinstance(c, dict) and isinstance(c.get("id"), str) for c in calls)):
+    if not (isinstance(calls, list) and calls and all(isinstance(c, dict) for c in calls)):
         calls = None
     if got and role == "tool" and isinstance(got.get("tool_call_id"), str):
         yield 0, "result", got["tool_call_id"], [], None, None, canonical({"role": "tool", **got})
@@ -112,12 +118,15 @@ def items(role, text, schemas: dict) -> Iterator[tuple]:
             args = _object(args)
         if not isinstance(args, dict):
             error = "$: not object"
-        elif name not in schemas:
+        elif not isinstance(name, str) or name not in schemas:
             error = "unknown tool"
         else:
             error = check(args, schemas[name])
-        body = {"type": "function", "id": call["id"], "name": name, "arguments": args if isinstance(args, dict) else call.get("arguments")}
-        yield k, "call", call["id"], sorted(references(args)), error is None, error, canonical(body)
+        own = call.get("id") if isinstance(call.get("id"), str) else None
+        if own is None:
+            error = "$.id: not string"
+        body = {"type": "function", "id": call.get("id"), "name": name, "arguments": args if isinstance(args, dict) else call.get("arguments")}
+        yield k, "call", own, sorted(references(args)), error is None, error, canonical(body)
 
 
 def link_tool_calls(turns: DataFrame, schemas: dict | None = None) -> DataFrame:
@@ -128,14 +137,15 @@ def link_tool_calls(turns: DataFrame, schemas: dict | None = None) -> DataFrame:
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in ITEM.split(", ")]
         for pdf in batches:
-            rows = [(c, t, *x) for c, t, r, s in zip(pdf["conv_id"].astype("Int64"), pdf["turn"].astype("Int64"), pdf["role"], pdf["text"], strict=True) for x in items(r, s, schemas)]
+            rows = [(c, t, *x) for c, t, r, s in zip(pdf["conv_id"], pdf["turn"].astype("Int64"), pdf["role"], pdf["text"], strict=True) for x in items(r, s, schemas)]
             out = pd.DataFrame(rows, columns=names)
-            yield out.astype({"conv_id": "Int64", "turn": "Int64", "valid": "boolean"})
+            yield out.astype({"turn": "Int64", "valid": "boolean"})
 
     turns = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
-    rows = scratch.table(turns.mapInPandas(parse, ITEM), "items")
-    calls = rows.where("kind = 'call'").groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "item", "json")).alias("first"), F.flatten(F.collect_set("refs")).alias("refs"))
-    calls = scratch.table(calls.select("conv_id", "call_id", "first", F.array_distinct("refs").alias("refs")), "calls")
+    turns = turns.withColumn("conv_id", F.coalesce(F.col("conv_id").cast("string"), F.lit("")))  # joins by it must find null too
+    rows = scratch.table(turns.mapInPandas(parse, ITEM.replace("conv_id long", "conv_id string")), "items")
+    calls = rows.where("kind = 'call' AND call_id IS NOT NULL").groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "item", "json", "refs")).alias("first"))
+    calls = scratch.table(calls.select("conv_id", "call_id", F.struct("first.turn", "first.item", "first.json").alias("first"), F.col("first.refs").alias("refs")), "calls")
     edges = scratch.table(calls.select("conv_id", "call_id", F.explode("refs").alias("on")).join(calls.select("conv_id", F.col("call_id").alias("on")), ["conv_id", "on"]), "edges")
     n_refs = edges.groupBy("conv_id", "call_id").agg(F.count("*").alias("n"))
     placed = calls.join(n_refs, ["conv_id", "call_id"], "left_anti").select("conv_id", "call_id", F.lit(0).cast("long").alias("depth"))
@@ -171,5 +181,6 @@ def link_tool_calls(turns: DataFrame, schemas: dict | None = None) -> DataFrame:
         WHEN struct(turn, item, json) <> first THEN 'duplicate' WHEN depth IS NULL THEN 'cycle' WHEN answered THEN 'linked' ELSE 'open' END""")
     level = F.expr("CASE WHEN depth IS NULL THEN 0 ELSE 2 * depth + 1 + cast(kind = 'result' AS int) END")
     linked = linked.select(*rows.columns, state.alias("state"), level.alias("level"), F.when((F.col("kind") == "result") & F.col("first").isNotNull(), F.greatest("turn", "first.turn")).otherwise(F.col("turn")).alias("turn_level"))
-    plain = rows.where("call_id IS NULL").select(*rows.columns, F.lit("plain").alias("state"), F.lit(0).alias("level"), F.col("turn").alias("turn_level"))
-    return keep(plain.union(linked).drop("refs"), scratch)
+    plain = rows.where("call_id IS NULL").select(*rows.columns, F.when(F.col("kind") == "call", "unlinked").otherwise("plain").alias("state"), F.lit(0).alias("level"), F.col("turn").alias("turn_level"))
+    out = plain.union(linked).drop("refs")
+    return keep(out.withColumn("conv_id", F.col("conv_id").try_cast("long")), scratch)

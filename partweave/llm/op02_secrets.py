@@ -3,7 +3,9 @@
 Base kinds are patterns (assign, access, hex).  Further spans are reported only when what they encode
 parses: signed tokens whose header and claims are JSON objects and whose header names an algorithm;
 armoured blocks, base64 and hexadecimal runs that decode to a private key, that is nested tag-length-value
-structures whose lengths fit exactly, or the binary key format of ssh.  Every pattern is linear in the text.
+structures whose lengths fit exactly, or the binary key format of ssh; armoured blocks may stand in a string with
+escaped line ends, and an encrypted one counts if it names its cipher and decodes to whole cipher blocks.  Structures
+nested more than ``DEEPEST`` deep are not keys (keys nest 4 deep).  Every pattern is linear in the text.
 
 Defined cases: null text counts as empty and has no spans; equal ids stay apart; spans of one text are
 ordered by start, then by kind as in ``KINDS``; spans of different kinds may overlap; an empty table
@@ -29,7 +31,7 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 DOTTED = re.compile(r"(?<![A-Za-z0-9_.-])eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+")
-ARMOUR = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([^-]+)-----END \1-----")
+ARMOUR = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----((?:[^-]|-(?!----))+)-----END \1-----")
 RUN64 = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
 RUN16 = re.compile(r"[0-9a-fA-F]{48,}")
 SSH = b"openssh-key-v1\0"
@@ -117,8 +119,10 @@ def confirmed_spans(text: str) -> list[tuple[int, int, int]]:
     out = [(m.start(), 3, m.end()) for m in DOTTED.finditer(text) if signed_token(m[0])] if "eyJ" in text else []
     if "-----BEGIN " in text:
         for m in ARMOUR.finditer(text):
-            body = "".join(line for line in m[2].splitlines() if ":" not in line)
-            if private_key(unbase64(re.sub(r"\s", "", body))):
+            lines = re.sub(r"""\\[nr]|["'+,]*$""", "\n", m[2], flags=re.M).splitlines()  # also as a string of source code
+            data = unbase64(re.sub(r"""[\s"']""", "", "".join(x for x in lines if ":" not in x)))
+            sealed = any(x.strip().startswith("DEK-Info:") for x in lines) and data and len(data) >= 48 and len(data) % 8 == 0
+            if sealed or private_key(data):
                 out.append((m.start(), 4, m.end()))
     inside = [(a, b) for a, k, b in out if k == 4]
     runs = [(m, unbase64(m[0])) for m in RUN64.finditer(text)]

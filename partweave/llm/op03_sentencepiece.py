@@ -3,7 +3,8 @@
 Words of a batch (a run of spaces with the characters after it) are encoded together: their symbols
 lie in one flat array; each round looks up the rank of every adjacent pair, takes the least rank per
 word (a segmented minimum), merges all leftmost non-overlapping pairs of that rank at once and compacts
-the array; words without a mergeable pair leave.  A worker remembers the words it has met.
+the array; words without a mergeable pair leave.  A worker remembers the words it has met.  Words are cut
+first between characters that stand together in no piece, so one long run without spaces is many short parts.
 
 The model must be BPE with the identity normaliser, byte fallback and no user-defined symbols; others
 are refused.  Null text counts as empty: its ids are the end id alone and its decoded text is empty.
@@ -69,6 +70,8 @@ class Model:
             if times[rank[i]] > 1:
                 self.alone[i] = True
         self.one_word = any(SPACE in p.lstrip(SPACE) for p in order)
+        near = np.array(sorted({ord(a) << 21 | ord(b) for p in order for a, b in zip(p, p[1:])}), np.int64)
+        self.near = near if len(near) else np.array([-1])
         inside = "" if "\n" in used else "\n"  # a character of no piece parts words
         self.words = re.compile(f"{inside}| *[^ {inside}]+| +" if inside else " *[^ ]+| +")
         self.text = [p.replace(SPACE, " ").encode() if plain[i] else bytes([int(p[3:5], 16)]) if sp.is_byte(i) else b"" for i, p in enumerate(names)]
@@ -111,8 +114,18 @@ class Model:
     def merge(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All words' final symbols in one array, and where each word begins (one more entry)."""
         joined = "".join(words).replace(" ", SPACE)
-        symbol = self.char[np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)]
-        word = np.repeat(np.arange(len(words)), [len(w) for w in words])
+        code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+        symbol = self.char[code]
+        # no piece spans two characters that are neighbours in none, so a word is cut there into parts
+        pair = code[:-1].astype(np.int64) << 21 | code[1:]
+        apart = self.near[np.minimum(np.searchsorted(self.near, pair), len(self.near) - 1)] != pair
+        length = np.array([len(w) for w in words], np.int64)
+        begin = np.concatenate(([0], np.cumsum(length)))
+        new = np.zeros(len(code) + 1, bool)
+        new[1:-1] = apart
+        new[begin[:-1][length > 0]] = True
+        word = np.cumsum(new[:-1])
+        parts = np.append(word, (word[-1] if len(word) else 0) + 1)[np.minimum(begin, len(word))]  # the first part of each word
         done_symbol, done_word = [], []
         while len(symbol):
             made, rank = self.look(symbol[:-1], symbol[1:])
@@ -145,7 +158,7 @@ class Model:
             symbol, word = symbol[left], word[left]
         symbol, word = np.concatenate([*done_symbol, symbol[:0]]), np.concatenate([*done_word, word[:0]])
         order = np.argsort(word, kind="stable")
-        return symbol[order], np.searchsorted(word[order], np.arange(len(words) + 1))
+        return symbol[order], np.searchsorted(word[order], parts)
 
     def ids(self, symbol: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Symbols outside the vocabulary become the ids of their UTF-8 bytes."""

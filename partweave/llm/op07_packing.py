@@ -10,7 +10,8 @@ tokens at a time, so the work grows with the input alone.
 3. Windows that cannot be filled wait for the next documents.  At the end of a task the waiting pieces
    are joined and cut into windows of falling powers of two, so no window needs padding.
 4. Windows of a tier form step groups of ``step`` tokens each, whatever the tier: 64 windows of 2048
-   or 512 of 256.  Only a task's last group of each tier is smaller.
+   or 512 of 256, so that steps are balanced by tokens.  Only a task's last group of each tier is smaller, and
+   windows below the shortest tier, of which a task's end makes one of each power of two at most, are groups of their own.
 
 Defined cases: null and empty texts are one end id; rows with equal or null ids are packed apart; an
 empty table has no pieces.  Equal inputs in equal partitions give equal windows, also after a retry.
@@ -63,8 +64,17 @@ def encoder(path: str, ranks: str | None = None):
     merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, Path(ranks).read_bytes().splitlines())}
     special = {t.content: i for i, t in tok.get_added_tokens_decoder().items()}
     fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges, special_tokens=special)
-    other = re.compile("[^\x00-\u024f]")
-    return lambda texts: [tok.encode(t, add_special_tokens=False).ids if other.search(t) else fast.encode(t, allowed_special="all") for t in texts]
+    other = re.compile("[^\x00-\u024f]|\\s{4096}")  # long white space exhausts the faster encoder's stack
+
+    def ids(t: str) -> list[int]:
+        if not other.search(t):
+            try:
+                return fast.encode(t, allowed_special="all")
+            except ValueError:  # its pattern gave up on this text
+                pass
+        return tok.encode(t, add_special_tokens=False).ids
+
+    return lambda texts: [ids(t) for t in texts]
 
 
 class Packer:

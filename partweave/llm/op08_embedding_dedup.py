@@ -113,13 +113,12 @@ def _groups(vectors: list[np.ndarray]):
 
 def _keys(batches):
     for pdf in batches:
-        vectors = _units(pdf["v"])
-        for rows, unit in _groups(vectors):
-            for table in range(TABLES):
-                c = cells(unit, table)
-                n = c.shape[1]
-                part = pdf.iloc[np.repeat(rows, n)]
-                yield pd.DataFrame({"label": part["label"].to_numpy(), "dim": np.int32(unit.shape[1]), "t": np.int32(table), "cell": c.ravel(), "own": np.tile(np.arange(n) == 0, len(rows)), "rep": part["rep"].to_numpy()})
+        dim = (pdf["v"].str.len() // 8).to_numpy(np.int32)
+        every = np.stack([np.frombuffer(b, np.int64) for b in pdf["cells"]]).reshape(len(pdf), TABLES, -1) if len(pdf) else np.zeros((0, TABLES, 1), np.int64)
+        n = every.shape[2]
+        for table in range(TABLES):
+            rows = np.repeat(np.arange(len(pdf)), n)
+            yield pd.DataFrame({"label": pdf["label"].to_numpy()[rows], "dim": dim[rows], "t": np.int32(table), "cell": every[:, table].ravel(), "own": np.tile(np.arange(n) == 0, len(pdf)), "rep": pdf["rep"].to_numpy()[rows]})
 
 
 def _meets(a: list[np.ndarray], b: list[np.ndarray], i: np.ndarray, j: np.ndarray, tables: int) -> np.ndarray:
@@ -149,7 +148,7 @@ def _compare(least: float):
         if len(i):
             dot = np.einsum("ij,ij->i", ua[i], ub[j])
             good = dot >= least
-            ka, kb = [cells(ua, t) for t in range(table + 1)], [cells(ub, t) for t in range(table + 1)]
+            ka, kb = ([np.stack([np.frombuffer(b, np.int64) for b in side["cells"]]).reshape(len(side), TABLES, -1)[:, t] for t in range(table + 1)] for side in (left, right))
             good &= ~_meets(ka, kb, i, j, table)
             # a probing neighbour whose own cell the other probes too is met twice in this table
             twice = ~owner[j] & (ka[table][i] == kb[table][j][:, :1]).any(1) & (ra[i] > rb[j])
@@ -191,10 +190,16 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
 
     def raw(batches):
         for pdf in batches:
-            yield pd.DataFrame({"rep": pdf["key"].to_numpy(), "label": pdf["label"].to_numpy(), "size": pdf["size"].to_numpy(), "v": [np.asarray(x, "<f8").tobytes() for x in pdf["e"]]})
+            vectors = [np.asarray(x, "<f8") for x in pdf["e"]]
+            own: list = [b""] * len(vectors)
+            for rows, unit in _groups(vectors):
+                every = np.concatenate([cells(unit, t) for t in range(TABLES)], 1)
+                for r, k in zip(rows, every, strict=True):
+                    own[r] = k.tobytes()
+            yield pd.DataFrame({"rep": pdf["key"].to_numpy(), "label": pdf["label"].to_numpy(), "size": pdf["size"].to_numpy(), "v": [x.tobytes() for x in vectors], "cells": own})
 
     one = d.where("fit").alias("d").join(sizes.alias("s"), F.expr("d.key = s.key AND d.id <=> s.first")).select("d.key", "label", "size", "e").dropDuplicates(["key"])
-    vectors = scratch.table(one.mapInPandas(raw, "rep long, label string, size long, v binary"), "vectors")
+    vectors = scratch.table(one.mapInPandas(raw, "rep long, label string, size long, v binary, cells binary"), "vectors")
     met = vectors.mapInPandas(_keys, "label string, dim int, t int, cell long, own boolean, rep long")
     met = scratch.table(met, "cells")
     at = ["label", "dim", "t", "cell"]
@@ -203,7 +208,7 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
     k = F.explode(F.expr("sequence(0, nb - 1)"))
     left = live.where("own").select(*at, "rep", "own", "i", k.alias("j"), F.lit(0).alias("side"))
     right = live.select(*at, "rep", "own", F.col("i").alias("j"), k.alias("i"), F.lit(1).alias("side")).select(*at, "rep", "own", "i", "j", "side")
-    placed = left.union(right).join(vectors.select("rep", "size", "v"), "rep")
+    placed = left.union(right).join(vectors.select("rep", "size", "v", "cells"), "rep")
     found = scratch.table(placed.groupBy(*at, "i", "j").applyInPandas(_compare(least), "a long, b long, n long"), "found")
     joined = components(found.where("b IS NOT NULL").select("a", "b"), scratch, "cc")
     links = found.where("b IS NULL").groupBy(F.col("a").alias("key")).agg(F.sum("n").alias("n"))

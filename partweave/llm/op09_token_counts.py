@@ -3,7 +3,7 @@
 Every text has a content digest (SHA-256 of its UTF-8 bytes; nothing may be folded, as each byte can
 change the ids) and every tokenizer a version digest (SHA-256 of its file and the library's version).
 Stored counts are joined by both; only one row of each missing content is encoded; the new counts are
-appended to the cache, from which all rows then take theirs.  Texts travel once, to the row that stands
+appended to the cache (a folder per tokenizer version), from which all rows then take theirs.  Texts travel once, to the row that stands
 for its content, spread by id, so a text with many copies makes no large group.
 
 Defined cases: null text counts as empty (0 bytes, 0 tokens); rows with equal ids, null ids and texts
@@ -63,7 +63,7 @@ def token_counts(docs: DataFrame, path: str, cache: str | None = None, id_col: s
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     docs = docs.withColumn("content", F.unhex(F.sha2("text", 256)))
     rows = scratch.table(docs.select("id", "content", F.octet_length("text").cast("long").alias("n_bytes")), "rows")
-    spark.createDataFrame([], CACHE).write.mode("append").parquet(cache)
+    spark.createDataFrame([], CACHE).write.mode("append").partitionBy("tokenizer").parquet(cache)
 
     def known() -> DataFrame:
         return spark.read.schema(CACHE).parquet(cache).where(F.col("tokenizer") == own).groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
@@ -81,5 +81,8 @@ def token_counts(docs: DataFrame, path: str, cache: str | None = None, id_col: s
     x, m = docs.alias("x"), missing.hint("shuffle_hash").alias("m")
     todo = x.join(m, F.expr("x.id <=> m.id AND x.content = m.content"), "left_semi").select("content", "text")
     new = todo.mapInArrow(encode, "content binary, n_tokens long").groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
-    new.select("content", F.lit(own).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache)
-    return keep(rows.join(known(), "content").select("id", "n_bytes", "n_tokens"), scratch)
+    new.select("content", F.lit(own).alias("tokenizer"), "n_tokens").write.mode("append").partitionBy("tokenizer").parquet(cache)
+    # both sides are tables as written, so the rows of a content with many copies can be split over tasks
+    counts = scratch.table(known().join(one.select("content"), "content", "left_semi"), "counts")
+    scratch.drop("missing")
+    return keep(rows.join(counts.hint("merge"), "content").select("id", "n_bytes", "n_tokens"), scratch)
