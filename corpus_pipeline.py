@@ -48,7 +48,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     rows = _placed(docs, scratch)
     groups = jaccard_components(rows, carry=("file_", "row_")).where("component_key IS NOT NULL")
     order = F.struct(F.col("id").isNull().alias("none"), "id", "file_", "row_").alias("at")
-    least = groups.groupBy("component_key").agg(F.min(order).alias("least"), F.count("*").alias("n")).where("n > 1")
+    # written first, so that the join has plain sides and the rows of a large group can be split over tasks
+    least = scratch.table(groups.groupBy("component_key").agg(F.min(order).alias("least"), F.count("*").alias("n")).where("n > 1"), "least")
     go = groups.join(least, "component_key").where("least.file_ <> file_ OR least.row_ <> row_").select("file_", "row_")
     return keep(rows.join(scratch.table(go, "go"), ["file_", "row_"], "left_anti").select(*COLUMNS), scratch)
 
