@@ -52,6 +52,8 @@ def test_licenses_parts_and_wraps(spark):
     got = {r["id"]: (r["sentence_ids"], r["licenses"]) for r in find_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[0] == got[1] == got[2] == got[5] == ([], [])
     assert got[3] == got[4] == ([50], ["MPL-2.0"]) and got[6] == ([1], ["MIT"])
+    both = "\n".join(SENTENCES[k].rstrip(":") + ("." if k % 2 else ":") + "\n" for k in (40, 41, 42, 43, 40, 41, 42, 41, 1))
+    assert find_licenses(spark.createDataFrame([(1, both)], "doc_id long, text string")).first()["licenses"] == ["BSD-2-Clause", "BSD-3-Clause", "MIT"]
     for k in range(len(wrapped)):
         name, ids = RULES[k // 4]
         assert got[7 + k] == (list(ids), [name]), wrapped[k]
