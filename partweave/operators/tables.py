@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from partweave.written import Written
+
 
 def latest(rows: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:
     """The row of each key that comes last by ``order``; aggregated before the shuffle."""
@@ -12,17 +14,48 @@ def latest(rows: DataFrame, keys: list[str], order: list[Column | str]) -> DataF
     return best.select("b_.row_.*")
 
 
+def unused(rows: DataFrame, name: str) -> str:
+    """A column name that ``rows`` does not have."""
+    while name in rows.columns:
+        name += "_"
+    return name
+
+
+def ranked(rows: DataFrame, order: list[tuple[Column, bool]], name: str = "rank") -> DataFrame:
+    """Adds the place of each row in the whole order (from 1): ``order`` has columns with whether they ascend, nulls last.
+
+    Rows are dealt to ranges of the order and numbered within them; the sums of the ranges before, one number a
+    range, are added.  So no task holds all rows.  An empty table stays empty.
+    """
+    written = Written(rows.sparkSession)
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    part, own = unused(rows, "range"), unused(rows, "own")
+    keys = [f"{unused(rows, 'key')}{k}" for k in range(len(order))]
+    dealt = rows.select("*", *[o.alias(k) for o, k in zip((c for c, _ in order), keys, strict=True)])
+    by = [F.col(k).asc_nulls_last() if up else F.col(k).desc_nulls_last() for k, (_, up) in zip(keys, order, strict=True)]
+    dealt = written.table(dealt.repartitionByRange(n, *by).withColumn(part, F.spark_partition_id()), "ranges")
+    own_place = F.row_number().over(Window.partitionBy(part).orderBy(*by))
+    sizes = dealt.groupBy(part).agg(F.count("*").alias("c"))
+    before = sizes.withColumn("c", F.coalesce(F.sum("c").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # one row a range
+    return dealt.withColumn(own, own_place).join(F.broadcast(before), part).select(*rows.columns, (F.col(own) + F.col("c")).cast("long").alias(name))
+
+
 def retain(rows: DataFrame, n: int, by: list[str], order: list[Column]) -> DataFrame:
     """The first ``n`` rows of each key by ``order``; Spark cuts each task's rows to ``n`` before the shuffle."""
     w = Window.partitionBy(*by).orderBy(*order)
-    return rows.withColumn("rn_", F.row_number().over(w)).where(F.col("rn_") <= n).drop("rn_")
+    place = unused(rows, "place")
+    return rows.withColumn(place, F.row_number().over(w)).where(F.col(place) <= n).drop(place)
 
 
-def continuation(rows: DataFrame, by: list[str], order: str, anchor: Column, text: str, sep: str = "\n") -> DataFrame:
-    """-> ``(*by, grp, first, n, text)``: rows that follow an anchor join it; rows before any are group 0."""
-    w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+def continuation(rows: DataFrame, by: list[str], order: str | list[str], anchor: Column, text: str, sep: str = "\n") -> DataFrame:
+    """-> ``(*by, grp, first, n, text)``: rows that follow an anchor join it; rows before any are group 0.
+
+    Further columns of ``order`` settle ties.  A key's rows are numbered in one task, so keys should be bounded.
+    """
+    order, ties = (order, []) if isinstance(order, str) else (order[0], order[1:])
+    w = Window.partitionBy(*by).orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, 0)
     g = rows.withColumn("grp", F.sum(F.when(anchor, 1).otherwise(0)).over(w))
-    parts = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.coalesce(text, F.lit("")).alias("t"))))
+    parts = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), *ties, F.coalesce(text, F.lit("")).alias("t"))))
     out = g.groupBy(*by, "grp").agg(F.min(order).alias("first"), F.count("*").alias("n"), parts.alias("p"))
     return out.select(*by, "grp", "first", "n", F.array_join(F.transform("p", lambda x: x["t"]), sep).alias("text"))
 
@@ -54,14 +87,16 @@ def islands(rows: DataFrame, by: list[str], at: str) -> DataFrame:
     """-> ``(*by, lo, hi, n)``: the runs of consecutive whole numbers."""
     d = rows.select(*by, at).distinct()
     w = Window.partitionBy(*by).orderBy(at)
-    return d.withColumn("g_", F.col(at) - F.row_number().over(w)).groupBy(*by, "g_").agg(F.min(at).alias("lo"), F.max(at).alias("hi"), F.count("*").alias("n")).drop("g_")
+    run = (F.col(at) - F.row_number().over(w)).alias("run__")
+    return d.select(*by, at, run).groupBy(*by, "run__").agg(F.min(at).alias("lo"), F.max(at).alias("hi"), F.count("*").alias("n")).drop("run__")
 
 
 def gap_clusters(rows: DataFrame, by: list[str], order: list[str], at: str, gap: float) -> DataFrame:
     """Adds ``cluster``: it grows by one wherever ``at`` lies more than ``gap`` after the row before."""
     w = Window.partitionBy(*by).orderBy(*order)
     new = F.when(F.col(at) - F.lag(at).over(w) > gap, 1).otherwise(0)
-    return rows.withColumn("new_", new).withColumn("cluster", F.sum("new_").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("new_")
+    first = unused(rows, "first")
+    return rows.withColumn(first, new).withColumn("cluster", F.sum(first).over(w.rowsBetween(Window.unboundedPreceding, 0))).drop(first)
 
 
 def alias_fold(removed: DataFrame, added: DataFrame, order: str) -> DataFrame:

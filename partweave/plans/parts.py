@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from partweave.functions import cells as C
@@ -79,11 +78,10 @@ def newest_first_limit(spark, sf_dir):
     return _t(spark, sf_dir, "events").select("event_id", "ts", "event_type").orderBy(F.desc("ts"), F.desc("event_id")).limit(50)
 
 
-@query("""SELECT conv_id, grp, min(turn) AS first, count(*) AS n, string_agg(coalesce(text, ''), chr(10) ORDER BY turn, coalesce(text, '')) AS text
-FROM (SELECT *, CAST(sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS BIGINT) AS grp FROM (SELECT conv_id, turn, min(role) AS role, min(text) AS text FROM conversations GROUP BY ALL)) GROUP BY conv_id, grp""")
+@query("""SELECT conv_id, grp, min(turn) AS first, count(*) AS n, string_agg(coalesce(text, ''), chr(10) ORDER BY turn, role, coalesce(text, '')) AS text
+FROM (SELECT *, CAST(sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING) AS BIGINT) AS grp FROM conversations) GROUP BY conv_id, grp""")
 def continuation_merge(spark, sf_dir):
-    turns = _t(spark, sf_dir, "conversations").groupBy("conv_id", "turn").agg(F.min("role").alias("role"), F.min("text").alias("text"))
-    return T.continuation(turns, ["conv_id"], "turn", F.col("role") == "user", "text")
+    return T.continuation(_t(spark, sf_dir, "conversations"), ["conv_id"], ["turn", "role", "text"], F.col("role") == "user", "text")
 
 
 _LI = "l_orderkey, l_linenumber, l_suppkey, l_quantity"
@@ -124,13 +122,16 @@ def alias_fold(spark, sf_dir):
     return T.alias_fold(p.where("mpn % 10 = 7"), p.where("mpn % 10 = 3"), "line")
 
 
-@query("""WITH c AS (SELECT doc_id, i - 1 AS row, lower(trim(l[i])) AS v FROM (SELECT doc_id, l, unnest(range(1, least(len(l), 30) + 1)) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents))),
+@query("""WITH c AS (SELECT doc_id, i - 1 AS row, lower(trim(l[i])) AS v FROM (SELECT doc_id, l, unnest(range(1, least(len(l), 30) + 1)) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents))
+  UNION ALL SELECT doc_id, doc_id % 11, unnest(['mpn', 'qty']) FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id, doc_id % 13, 'part desc' FROM documents WHERE doc_id % 3 = 1),
 s AS (SELECT doc_id, row, sum(CASE WHEN h THEN w ELSE 0 END) AS score, sum(CASE WHEN h THEN 1 ELSE 0 END) AS hits FROM (SELECT doc_id, row, regexp_matches(v, 'mpn|part|qty|desc|ref|loc|item|mfr|package|manufacturer|designator|quantity') AS h,
   CASE WHEN regexp_matches(v, 'manufacturer|mpn|part number|pn') THEN 3 WHEN regexp_matches(v, 'qty|quantity|desc|ref|designator') THEN 2 ELSE 1 END AS w FROM c) GROUP BY ALL)
 SELECT doc_id, CAST(coalesce(min(CASE WHEN hits >= 2 AND score >= 4 THEN row END), CASE WHEN max(score) >= 2 THEN arg_max(row, row(score, -row)) END, 0) AS BIGINT) AS header_row FROM s GROUP BY 1""")
 def header_row_detect(spark, sf_dir):
     lines = _t(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.slice(F.split(F.coalesce("text", F.lit("")), "\n"), 1, 30)).alias("row", "value"))
-    return T.header_row(lines, "doc_id", "row", "value")
+    d = _t(spark, sf_dir, "documents")
+    heads = d.where("doc_id % 3 = 0").selectExpr("doc_id", "cast(doc_id % 11 AS int) AS row", "explode(array('MPN', ' Qty')) AS value").union(d.where("doc_id % 3 = 1").selectExpr("doc_id", "cast(doc_id % 13 AS int) AS row", "'Part desc' AS value"))
+    return T.header_row(lines.union(heads), "doc_id", "row", "value")
 
 
 @query("SELECT 'supplier' AS source, s_suppkey AS key, s_name AS name, '' AS segment FROM supplier UNION ALL SELECT 'customer', c_custkey, c_name, c_mktsegment FROM customer")
@@ -151,9 +152,12 @@ def bucket_round_half_even(spark, sf_dir):
     return _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.bround(F.col("l_quantity") / 4, 0).alias("bin"))
 
 
-@query("SELECT p_partkey, row_number() OVER (ORDER BY try_cast(v AS INT) NULLS LAST, v, p_partkey) AS rnk FROM (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_brand ELSE CAST(p_size AS VARCHAR) END AS v FROM part) ORDER BY 2 LIMIT 200")
+@query("SELECT p_partkey, row_number() OVER (ORDER BY try_cast(v AS INT) NULLS LAST, v, p_partkey) AS rnk FROM (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_brand ELSE CAST(p_size AS VARCHAR) END AS v FROM part)")
 def numeric_aware_sort_rank(spark, sf_dir):
-    v = _t(spark, sf_dir, "part").withColumn("v", F.expr("CASE WHEN p_partkey % 3 = 0 THEN p_brand ELSE cast(p_size AS string) END"))
-    top = v.orderBy(F.col("v").try_cast("int").asc_nulls_last(), "v", "p_partkey").limit(200)
-    rank = F.row_number().over(Window.orderBy(F.col("v").try_cast("int").asc_nulls_last(), "v", "p_partkey"))  # over the 200 rows of the report
-    return top.select("p_partkey", rank.cast("long").alias("rnk"))
+    v = _t(spark, sf_dir, "part").selectExpr("p_partkey", "CASE WHEN p_partkey % 3 = 0 THEN p_brand ELSE cast(p_size AS string) END AS v")
+    return T.ranked(v, [(F.col("v").try_cast("int"), True), (F.col("v"), True), (F.col("p_partkey"), True)], "rnk").drop("v")
+
+
+@query("SELECT p_partkey, row_number() OVER (ORDER BY p_size DESC, p_partkey) AS rnk FROM part")
+def descending_sort_rank(spark, sf_dir):
+    return T.ranked(_t(spark, sf_dir, "part").select("p_partkey", "p_size"), [(F.col("p_size"), False), (F.col("p_partkey"), True)], "rnk").drop("p_size")
