@@ -141,3 +141,29 @@ def test_stream_cache(spark, tmp_path):
         time.sleep(0.5)
     q.stop()
     assert {r.id: r.hit for r in spark.read.parquet(out).collect()} == {0: False, 1: True, 2: False, 3: False}
+
+
+def test_callouts(spark):
+    from partweave.operators.callouts import callouts
+
+    lines = [
+        "MOLEX HOUSING PN# 0009508040 X2", "4 POSITION HOUSING", "MOLEX PN 39-01-2040", "Molex#0009520071 X8", "TERMINAL BLOCK PN:", "", "1776244-2 x3", "SHRINK TUBING, 3/4 DIA", "230-0018-001 X4",
+        "CABLE TIE BLACK x5 MOLEX PN# 0009508040", "1  YELLOW  24 AWG  REQUEST", "W2 HARNESS ASSY", "500-0153-000",
+    ]
+    d = spark.createDataFrame([("d", i, t) for i, t in enumerate(lines)] + [("e", 0, None)], "doc string, line int, text string")
+    got = {r.part or r.description: (r.description, r.qty, r.maker) for r in callouts(d, ["doc"]).collect()}
+    assert got["0009508040"] == ("MOLEX HOUSING", "2", "MOLEX") and got["39-01-2040"] == ("4 POSITION HOUSING", "1", "MOLEX")
+    assert got["0009520071"][1:] == ("8", "Molex") and got["1776244-2"] == ("TERMINAL BLOCK", "3", "")
+    assert got["230-0018-001"] == ("SHRINK TUBING, 3/4 DIA", "4", "") and got["Wire, YELLOW, 24 AWG, REQUEST"][1] == "1"
+    assert "CABLE TIE BLACK x5" in got or "CABLE TIE BLACK" in str(got)
+
+
+def test_grid(spark):
+    w = spark.createDataFrame([("p", "a", 0, 0, 10, 8), ("p", "b", 20, 1, 10, 8), ("p", "|", 45, 0, 2, 8), ("p", "c", 60, 30, 10, 8), ("p", "out", 500, 0, 5, 5)], "page string, text string, left int, top int, width int, height int")
+    rows = spark.createDataFrame([("p", 0, 0, 20), ("p", 1, 20, 40)], "page string, row int, lo int, hi int")
+    cols = spark.createDataFrame([("p", 0, 0, 50), ("p", 1, 50, 100)], "page string, col int, lo int, hi int")
+    got = {(r.row, r.col): r.text for r in W.grid_cells(W.to_grid(w, rows, cols, ["page"]), ["page"]).collect()}
+    assert got == {(0, 0): "a b", (1, 1): "c"}
+    h = W.header_bounds(spark.createDataFrame([("p", "Item", 10, 20), ("p", "Qty", 60, 20)], "page string, text string, left int, width int"), ["page"])
+    assert [tuple(r) for r in h.orderBy("col").collect()] == [("p", 0, "Item", 0, 45), ("p", 1, "Qty", 45, 10**9)]
+    assert W.tiles(spark.createDataFrame([("p", 2000, 900)], "page string, width int, height int"), ["page"]).count() == 2
