@@ -14,7 +14,7 @@ from .op02_secrets import find_secrets
 from .op03_sentencepiece import encode_decode
 from .op04_jaccard_join import jaccard_components
 from .op05_licenses import duck_sql, find_licenses
-from .op06_quality_rules import ledger, passes
+from .op06_quality_rules import ablation, ledger, passes
 from .op07_packing import pack
 from .op08_embedding_dedup import near_duplicates
 from .op09_token_counts import token_counts
@@ -85,6 +85,18 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measured.select("*", (~passes("base")).alias("base_failed"), passes("v1").alias("kept"))
 
 
+@query(
+    "WITH p AS ("
+    + ORACLES["op6_quality_rules"]
+    + """), r AS (SELECT * FROM (VALUES ('few_words', 1), ('repeated_words', 2), ('symbols', 4), ('duplicate_lines', 8), ('short_words', 16), ('long_words', 32)) AS v(rule, bit))
+SELECT 'v1' AS policy, rule, count(*) AS n_rows, count(*) FILTER (failures & bit <> 0) AS n_failed, count(*) FILTER (failures = bit) AS n_only, count(*) FILTER (failures = 0) AS n_kept,
+    count(*) FILTER (failures = 0 OR failures = bit) AS n_kept_without FROM p, r GROUP BY rule"""
+)
+def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of a policy rejects, alone and with others, by sums over the ledger's bits."""
+    return ablation(ledger(table(spark, sf_dir, "documents")), "v1")
+
+
 @query()
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), ranks=public_tokenizers.path("byte_bpe_50k.tiktoken")).withColumnRenamed("id", "doc_id")
