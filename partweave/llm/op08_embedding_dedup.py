@@ -18,6 +18,7 @@ gives an empty result.
 from __future__ import annotations
 
 import itertools
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -31,6 +32,8 @@ from .components import components
 TABLES, PARTS, PROBES = 5, 2, 2
 SCALE = 0.28  # lattice step against unit vectors; a pair of cosine 0.98 is about 0.07 apart in eight of 64 directions
 BLOCK = 512
+AT_ONCE = 50_000  # pairs compared at a time
+GROUP = ["label", "dim", "t", "cell", "i", "j"]
 
 
 def e8(x: np.ndarray) -> np.ndarray:
@@ -121,59 +124,84 @@ def _keys(batches):
             yield pd.DataFrame({"label": pdf["label"].to_numpy()[rows], "dim": dim[rows], "t": np.int32(table), "cell": every[:, table].ravel(), "own": np.tile(np.arange(n) == 0, len(pdf)), "rep": pdf["rep"].to_numpy()[rows]})
 
 
-def _meets(a: list[np.ndarray], b: list[np.ndarray], i: np.ndarray, j: np.ndarray, tables: int) -> np.ndarray:
-    """Whether the pairs (i, j) meet in one of the first ``tables`` tables."""
-    out = np.zeros(len(i), bool)
-    for t in range(tables):
-        x, y = a[t][i], b[t][j]
-        out |= (x == y[:, :1]).any(1) | (y == x[:, :1]).any(1)
-    return out
+def _pairs(group_left: np.ndarray, group_right: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(places left, places right) of all pairs within groups, ``AT_ONCE`` or so at a time; both sides sorted by group."""
+    begin, end = np.searchsorted(group_right, group_left), np.searchsorted(group_right, group_left, "right")
+    each = end - begin
+    total = np.cumsum(each)
+    at = 0
+    while at < len(each):
+        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + AT_ONCE, "right")))
+        n = each[at:to]
+        i = np.repeat(np.arange(at, to), n)
+        yield i, np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n) + begin[i]
+        at = to
+
+
+def _linked(pdf: pd.DataFrame, least: float) -> pd.DataFrame:
+    """Links between the owners of cells and the other members of whole groups: counts per vector, and joining links.
+
+    All groups of the batch are compared in flat arrays, whatever their sizes.
+    """
+    pdf = pdf.drop_duplicates([*GROUP, "side", "rep"])
+    group = pdf.groupby(GROUP, sort=False, dropna=False).ngroup().to_numpy()
+    pdf = pdf.iloc[np.argsort(group, kind="stable")]
+    group = np.sort(group)
+    unit = np.stack(_units(pdf["v"]))
+    unit = unit / np.abs(unit).max(1, keepdims=True)
+    unit = unit / np.linalg.norm(unit, axis=1, keepdims=True)
+    keys = np.stack([np.frombuffer(b, np.int64) for b in pdf["cells"]]).reshape(len(pdf), TABLES, -1)
+    side, own, table = pdf["side"].to_numpy(), pdf["own"].to_numpy(bool), pdf["t"].to_numpy()
+    rep, size = pdf["rep"].to_numpy(), pdf["size"].to_numpy()
+    left, right = np.flatnonzero((side == 0) & own), np.flatnonzero(side == 1)
+    found = []
+    for i, j in _pairs(group[left], group[right]):
+        i, j = left[i], right[j]
+        open_ = (rep[i] != rep[j]) & ~(own[j] & (rep[i] > rep[j]))
+        i, j = i[open_], j[open_]
+        near = np.einsum("ij,ij->i", unit[i], unit[j]) >= least
+        i, j = i[near], j[near]
+        first = np.ones(len(i), bool)
+        for t in range(TABLES):  # a pair counts in the first table where it meets
+            x, y = keys[i, t], keys[j, t]
+            first &= ~((t < table[i]) & ((x == y[:, :1]).any(1) | (y == x[:, :1]).any(1)))
+        # a probing neighbour whose own cell the other probes too is met twice in this table
+        twice = ~own[j] & (keys[i, table[i]] == keys[j, table[i]][:, :1]).any(1) & (rep[i] > rep[j])
+        found.append((i[first & ~twice], j[first & ~twice]))
+    i, j = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (left[:0], right[:0])
+    n = pd.concat([pd.Series(size[j]).groupby(rep[i]).sum(), pd.Series(size[i]).groupby(rep[j]).sum()]).groupby(level=0).sum()
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while parent.get(x, x) != x:
+            parent[x] = parent.get(parent[x], parent[x])
+            x = parent[x]
+        return x
+
+    links = []
+    for x, y in zip(rep[i].tolist(), rep[j].tolist(), strict=True):
+        p, q = find(x), find(y)
+        if p != q:
+            parent[max(p, q)] = min(p, q)
+            links.append((x, y))
+    a = np.concatenate([n.index.to_numpy(np.int64), np.array([x for x, _ in links], np.int64)])
+    b = pd.array([None] * len(n) + [y for _, y in links], "Int64")
+    return pd.DataFrame({"a": a, "b": b, "n": np.concatenate([n.to_numpy(np.int64), np.zeros(len(links), np.int64)])})
 
 
 def _compare(least: float):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates(["side", "rep"]).sort_values("rep", kind="stable")
-        left = pdf[(pdf["side"] == 0) & pdf["own"]]
-        right = pdf[pdf["side"] == 1]
-        table, cell = int(pdf["t"].iloc[0]), pdf["cell"].iloc[0]
-        if not len(left) or not len(right):
-            return pd.DataFrame({"a": [], "b": [], "n": []}).astype("int64")
-        la, lb = np.stack(_units(left["v"])), np.stack(_units(right["v"]))
-        na, nb = (m / np.abs(m).max(1, keepdims=True) for m in (la, lb))
-        ua, ub = na / np.linalg.norm(na, axis=1, keepdims=True), nb / np.linalg.norm(nb, axis=1, keepdims=True)
-        ra, rb = left["rep"].to_numpy(), right["rep"].to_numpy()
-        owner = right["own"].to_numpy()
-        ok = (ua @ ub.T >= least) & (ra[:, None] != rb[None, :]) & ~(owner[None, :] & (ra[:, None] > rb[None, :]))
-        i, j = np.nonzero(ok)
-        if len(i):
-            dot = np.einsum("ij,ij->i", ua[i], ub[j])
-            good = dot >= least
-            ka, kb = ([np.stack([np.frombuffer(b, np.int64) for b in side["cells"]]).reshape(len(side), TABLES, -1)[:, t] for t in range(table + 1)] for side in (left, right))
-            good &= ~_meets(ka, kb, i, j, table)
-            # a probing neighbour whose own cell the other probes too is met twice in this table
-            twice = ~owner[j] & (ka[table][i] == kb[table][j][:, :1]).any(1) & (ra[i] > rb[j])
-            i, j = i[good & ~twice], j[good & ~twice]
-        wa, wb = left["size"].to_numpy(), right["size"].to_numpy()
-        count = np.zeros(len(ra), np.int64), np.zeros(len(rb), np.int64)
-        np.add.at(count[0], i, wb[j])
-        np.add.at(count[1], j, wa[i])
-        parent: dict[int, int] = {}
-
-        def find(x: int) -> int:
-            while parent.get(x, x) != x:
-                parent[x] = parent.get(parent[x], parent[x])
-                x = parent[x]
-            return x
-
-        links = []
-        for x, y in zip(ra[i].tolist(), rb[j].tolist(), strict=True):
-            p, q = find(x), find(y)
-            if p != q:
-                parent[max(p, q)] = min(p, q)
-                links.append((x, y))
-        rows = [(int(r), None, int(n)) for r, n in zip(np.concatenate([ra, rb]), np.concatenate(count), strict=True) if n]
-        rows += [(x, y, 0) for x, y in links]
-        return pd.DataFrame({"a": pd.array([r[0] for r in rows], "Int64"), "b": pd.array([r[1] for r in rows], "Int64"), "n": pd.array([r[2] for r in rows], "Int64")})
+    """Sorted rows of whole groups, which may go on from one batch to the next."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for pdf in batches:
+            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            last = (pdf[GROUP] == pdf[GROUP].iloc[-1]).all(axis=1) if len(pdf) else pd.Series([], dtype=bool)
+            held = pdf[last]
+            for _, part in pdf[~last].groupby("dim"):
+                yield _linked(part, least)
+        if held is not None and len(held):
+            yield _linked(held, least)
 
     return run
 
@@ -209,7 +237,7 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
     left = live.where("own").select(*at, "rep", "own", "i", k.alias("j"), F.lit(0).alias("side"))
     right = live.select(*at, "rep", "own", F.col("i").alias("j"), k.alias("i"), F.lit(1).alias("side")).select(*at, "rep", "own", "i", "j", "side")
     placed = left.union(right).join(vectors.select("rep", "size", "v", "cells"), "rep")
-    found = scratch.table(placed.groupBy(*at, "i", "j").applyInPandas(_compare(least), "a long, b long, n long"), "found")
+    found = scratch.table(placed.repartition(*GROUP).sortWithinPartitions(*GROUP).mapInPandas(_compare(least), "a long, b long, n long"), "found")
     joined = components(found.where("b IS NOT NULL").select("a", "b"), scratch, "cc")
     links = found.where("b IS NULL").groupBy(F.col("a").alias("key")).agg(F.sum("n").alias("n"))
     classes = sizes.join(links, "key", "left").join(joined.select(F.col("node").alias("key"), "component"), "key", "left")
