@@ -32,7 +32,7 @@ from .components import components
 TABLES, PARTS, PROBES = 5, 2, 2
 SCALE = 0.28  # lattice step against unit vectors; a pair of cosine 0.98 is about 0.07 apart in eight of 64 directions
 BLOCK = 512
-AT_ONCE = 50_000  # pairs compared at a time
+AT_ONCE = 4_000_000  # components of pairs compared at a time
 GROUP = ["label", "dim", "t", "cell", "i", "j"]
 
 
@@ -124,14 +124,14 @@ def _keys(batches):
             yield pd.DataFrame({"label": pdf["label"].to_numpy()[rows], "dim": dim[rows], "t": np.int32(table), "cell": every[:, table].ravel(), "own": np.tile(np.arange(n) == 0, len(pdf)), "rep": pdf["rep"].to_numpy()[rows]})
 
 
-def _pairs(group_left: np.ndarray, group_right: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(places left, places right) of all pairs within groups, ``AT_ONCE`` or so at a time; both sides sorted by group."""
+def _pairs(group_left: np.ndarray, group_right: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(places left, places right) of all pairs within groups, ``most`` or so at a time; both sides sorted by group."""
     begin, end = np.searchsorted(group_right, group_left), np.searchsorted(group_right, group_left, "right")
     each = end - begin
     total = np.cumsum(each)
     at = 0
     while at < len(each):
-        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + AT_ONCE, "right")))
+        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + most, "right")))
         n = each[at:to]
         i = np.repeat(np.arange(at, to), n)
         yield i, np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n) + begin[i]
@@ -155,7 +155,7 @@ def _linked(pdf: pd.DataFrame, least: float) -> pd.DataFrame:
     rep, size = pdf["rep"].to_numpy(), pdf["size"].to_numpy()
     left, right = np.flatnonzero((side == 0) & own), np.flatnonzero(side == 1)
     found = []
-    for i, j in _pairs(group[left], group[right]):
+    for i, j in _pairs(group[left], group[right], max(1, AT_ONCE // unit.shape[1])):
         i, j = left[i], right[j]
         open_ = (rep[i] != rep[j]) & ~(own[j] & (rep[i] > rep[j]))
         i, j = i[open_], j[open_]
