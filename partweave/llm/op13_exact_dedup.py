@@ -157,7 +157,8 @@ def exact_dedup(
             break
         members = scratch.table(left.join(groups, HASH), f"members{n}")
         salts = F.expr(f"cast(ceil(n / {MEMBERS}) AS int)")
-        dealt = docs.select(*PLACE, F.col("text_").cast("binary").alias("bytes_")).join(members.select(*PLACE, "n_bytes", "n", "key"), PLACE)
+        # a merge join at every size: texts cross the network once, and memory does not depend on the number of members
+        dealt = docs.select(*PLACE, F.col("text_").cast("binary").alias("bytes_")).join(members.select(*PLACE, "n_bytes", "n", "key").hint("merge"), PLACE)
         dealt = dealt.withColumn("follows", F.expr("cast(key.file_ <> file_ OR key.row_ <> row_ AS int)"))
         mine = F.when(F.col("follows") == 1, F.array(F.pmod(F.xxhash64("row_", "file_"), salts).cast("int"))).otherwise(F.sequence(F.lit(0), salts - 1))
         dealt = dealt.withColumn("salt", F.explode(mine)).select(*PLACE, "key", "follows", "salt", "n_bytes", "bytes_").select(*PLACE, "key", "follows", "salt", _pieces("bytes_"))
