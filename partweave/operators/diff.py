@@ -35,28 +35,28 @@ def revision(rows: DataFrame) -> DataFrame:
     return out.select(C.row_key("mpn", "comment").alias("k"), "*").where("k <> ''")
 
 
-def keyed(rows: DataFrame) -> DataFrame:
+def keyed(rows: DataFrame, plain: bool = False) -> DataFrame:
     """One row per key, with the cells and their forms (``form_*``) for comparing."""
     out = first_per_key(revision(rows), ["k"], ["line"])
-    return out.select("*", *[_form(f, F.col(f)).alias(f"form_{f}") for f in FIELDS])
+    return out.select("*", *[_form(f, F.col(f), plain).alias(f"form_{f}") for f in FIELDS])
 
 
-def _form(field: str, c: Column) -> Column:
-    """A cell in the form it is compared in."""
+def _form(field: str, c: Column, plain: bool = False) -> Column:
+    """A cell in the form it is compared in; ``plain`` quantities are numbers without unit, fraction or comma."""
     if field == "qty":
-        return C.quantity_text(c)
+        return C.plain_quantity(c) if plain else C.quantity_text(c)
     if field == "description":
         return C.cell_key(c)
     return F.upper(C.strip(F.coalesce(c, F.lit(""))))
 
 
-def diff(old: DataFrame, new: DataFrame) -> DataFrame:
+def diff(old: DataFrame, new: DataFrame, plain: bool = False) -> DataFrame:
     """-> ``(k, status, old_*, new_*, *_changed, mpn_changed, alias_match)``: one row per key of either side.
 
     Status is new, removed, modified or unchanged.  Quantities are compared as numbers, descriptions as keys,
     designators, makers and vendors as upper-case text; the order of designators counts (see ``reclassify``).
     """
-    a, b = keyed(old).alias("a"), keyed(new).alias("b")
+    a, b = keyed(old, plain).alias("a"), keyed(new, plain).alias("b")
     changed = {f: F.col(f"a.form_{f}") != F.col(f"b.form_{f}") for f in FIELDS}
     both = F.col("a.k").isNotNull() & F.col("b.k").isNotNull()
     any_changed = changed[FIELDS[0]]
@@ -70,6 +70,26 @@ def diff(old: DataFrame, new: DataFrame) -> DataFrame:
     return joined.select(F.coalesce("a.k", "b.k").alias("k"), status.alias("status"), *sides, *flags, *no)
 
 
+def manual_diff(old: DataFrame, new: DataFrame) -> DataFrame:
+    """``diff`` for columns a user chose: quantities are plain numbers, and only part numbers are keys.
+
+    Makers and vendors are not compared.  ``manual_figures`` gives its figures.
+    """
+    cells = ("mpn", "qty", "refdes", "description", "line")
+    keep = lambda rows: rows.select(*[c for c in cells if c in rows.columns])
+    return diff(keep(old), keep(new), plain=True)
+
+
+def manual_figures(rows: DataFrame, threshold: float = 0.88) -> DataFrame:
+    """One row of the nine figures of a manual comparison."""
+    n = lambda condition: F.count_if(F.expr(condition))
+    return rows.agg(
+        n("status <> 'new'").alias("total_parts_file1"), n("status <> 'removed'").alias("total_parts_file2"), n("status = 'new'").alias("new_parts_count"),
+        n("status = 'removed'").alias("removed_parts_count"), n("status = 'modified'").alias("modified_parts_count"), n("status = 'unchanged'").alias("unchanged_parts_count"),
+        F.lit(0).cast("long").alias("unrecognized_parts_count"), n("status = 'modified' AND mpn_changed").alias("mpn_renamed_count"),
+    ).withColumn("fuzzy_threshold", F.lit(threshold))
+
+
 def shown_part(side: str) -> Column:
     """The part number to show: whole numbers without ``.0``, the comment where there is no part number."""
     mpn, comment = C.display(f"{side}_mpn"), C.display(f"{side}_comment")

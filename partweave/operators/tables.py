@@ -116,15 +116,16 @@ def previous_label(rows: DataFrame, by: list[str], order: list[str], label: Colu
     return rows.withColumn("label", F.last(F.when(label, F.col(value)), ignorenulls=True).over(w))
 
 
-def header_row(cells: DataFrame, by: str, row: str, value: str, most: int = 30) -> DataFrame:
-    """-> ``(by, header_row)``: the first of the first rows that scores 4 with two hits, else the best, else 0."""
+def header_row(cells: DataFrame, by: str | list[str], row: str, value: str, most: int = 30) -> DataFrame:
+    """-> ``(*by, header_row)``: the first of the first rows that scores 4 with two hits, else the best, else 0."""
+    by = [by] if isinstance(by, str) else by
     v = F.lower(F.trim(value))
     any_of = lambda *k: v.rlike("|".join(k))
     # Header keywords and their weights.
     hit = any_of("mpn", "part", "qty", "desc", "ref", "loc", "item", "mfr", "package", "manufacturer", "designator", "quantity")
     score = F.when(any_of("manufacturer", "mpn", "part number", "pn"), 3).when(any_of("qty", "quantity", "desc", "ref", "designator"), 2).otherwise(1)
-    s = cells.groupBy(by, row).agg(F.sum(F.when((F.col(row) < most) & hit, score).otherwise(0)).alias("score"), F.sum(F.when(hit, 1).otherwise(0)).alias("hits"))
+    s = cells.groupBy(*by, row).agg(F.sum(F.when((F.col(row) < most) & hit, score).otherwise(0)).alias("score"), F.sum(F.when(hit, 1).otherwise(0)).alias("hits"))
     s = s.where(F.col(row) < most)
     sure = F.min(F.when((F.col("hits") >= 2) & (F.col("score") >= 4), F.col(row)))
     best = F.max(F.struct("score", (-F.col(row)).alias("r")))
-    return s.groupBy(by).agg(sure.alias("a"), best.alias("b")).select(by, F.coalesce("a", F.when(F.col("b.score") >= 2, -F.col("b.r")), F.lit(0)).cast("long").alias("header_row"))
+    return s.groupBy(*by).agg(sure.alias("a"), best.alias("b")).select(*by, F.coalesce("a", F.when(F.col("b.score") >= 2, -F.col("b.r")), F.lit(0)).cast("long").alias("header_row"))
