@@ -78,14 +78,14 @@ def clean_cells(spark, sf_dir):
 
 
 @query("""SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN CAST(p_size AS VARCHAR) WHEN 1 THEN p_size || '.5' WHEN 2 THEN p_size || '.00"' WHEN 3 THEN CAST(p_size AS VARCHAR) ELSE '' END AS qty, upper(p_brand) AS maker,
-  'BOLT ' || p_name AS description, CASE p_partkey % 5 WHEN 4 THEN 'XY' || p_partkey ELSE 'P-' || p_partkey END AS part FROM part""")
+  'BOLT, ' || p_name AS description, CASE p_partkey % 5 WHEN 4 THEN 'XY' || p_partkey ELSE 'P-' || p_partkey END AS part FROM part""")
 def clean_fields(spark, sf_dir):
     qty = F.expr("CASE p_partkey % 5 WHEN 0 THEN concat(p_size, '.00') WHEN 1 THEN concat(p_size, '.50 9 14') WHEN 2 THEN concat(p_size, '.00\"') WHEN 3 THEN concat('0', p_size, '.0') ELSE 'a b' END")
     maker = F.expr("concat('1 4 7.00\" ', upper(p_brand), ' 7')")
     words = C.split_bled_words(F.expr("concat('P-', p_partkey, ' BOLT,')"), F.col("p_name"))
     glued = C.split_glued_maker(F.expr("concat('MAKER XY', p_partkey)"), F.lit(""))
     part = F.when(F.col("p_partkey") % 5 == 4, glued["part"]).otherwise(C.clean_part(F.concat(words["part"], F.lit(" 2 3 R 16.0 ["))))
-    return _t(spark, sf_dir, "part").select("p_partkey", C.clean_qty(qty).alias("qty"), C.clean_maker(maker).alias("maker"), F.regexp_replace(words["description"], "^BOLT,", "BOLT").alias("description"), part.alias("part"))
+    return _t(spark, sf_dir, "part").select("p_partkey", C.clean_qty(qty).alias("qty"), C.clean_maker(maker).alias("maker"), words["description"].alias("description"), part.alias("part"))
 
 
 @query("""SELECT p_brand AS doc, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS line, 'I-' || p_partkey AS item, CASE WHEN p_partkey % 3 = 0 THEN 'part ' || p_name ELSE p_name END AS description, 'ACME' AS maker,
@@ -100,12 +100,9 @@ def quote_rows(spark, sf_dir):
     return Q.clean_rows(rows, ["doc"])
 
 
-@query("SELECT 'T' || (l_suppkey % 7) AS doc, row_number() OVER (PARTITION BY l_suppkey % 7 ORDER BY min(r)) AS line, 'I1' AS item, 'd' AS description, 'M' AS maker, 'P' || l_partkey AS part, CAST(count(*) AS VARCHAR) AS qty FROM (SELECT *, l_orderkey * 10 + l_linenumber AS r FROM lineitem QUALIFY count(*) OVER (PARTITION BY l_orderkey, l_linenumber) = 1) GROUP BY l_suppkey % 7, l_partkey")
+@query("SELECT 'T' || (l_suppkey % 7) AS doc, row_number() OVER (PARTITION BY l_suppkey % 7 ORDER BY min(r), l_partkey) AS line, 'I1' AS item, 'd' AS description, 'M' AS maker, 'P' || l_partkey AS part, CAST(count(*) AS VARCHAR) AS qty FROM (SELECT *, (l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey AS r FROM lineitem) GROUP BY l_suppkey % 7, l_partkey")
 def merge_placement_tables(spark, sf_dir):
-    from pyspark.sql import Window
-
-    li = _t(spark, sf_dir, "lineitem").withColumn("c", F.count("*").over(Window.partitionBy("l_orderkey", "l_linenumber"))).where("c = 1")
-    rows = li.selectExpr("concat('T', l_suppkey % 7) AS doc", "l_orderkey * 10 + l_linenumber AS row", "'I1' AS item", "'d' AS description", "'M' AS maker", "concat('P', l_partkey) AS part", "'' AS qty")
+    rows = _t(spark, sf_dir, "lineitem").selectExpr("concat('T', l_suppkey % 7) AS doc", "(l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey AS row", "'I1' AS item", "'d' AS description", "'M' AS maker", "concat('P', l_partkey) AS part", "'' AS qty")
     return Q.number_lines(Q.merge_placements(rows, ["doc"]), ["doc"])
 
 
@@ -171,12 +168,12 @@ def matrix_explode(spark, sf_dir):
 
 def _page_words(spark, sf_dir):
     """The words of documents on pages: ten a line, each 60 wide, lines 12 apart."""
-    w = _t(spark, sf_dir, "documents").where("doc_id % 5 = 0").select(F.col("doc_id").alias("page"), F.posexplode(F.split("text", r"[ \t\n\r\f\x0b]+")).alias("i", "text")).where("text <> ''")
+    w = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("page"), F.posexplode(F.split("text", r"[ \t\n\r\f\x0b]+")).alias("i", "text")).where("text <> ''")
     return w.selectExpr("page", "text", "double((i % 10) * 60 + i % 3) AS x0", "double((i % 10) * 60 + i % 3 + least(length(text), 9) * 6) AS x1", "double(floor(i / 10) * 12 + i % 2) AS top", "double(floor(i / 10) * 12 + 8) AS bottom")
 
 
-_PW = """w AS (SELECT page, text, CAST((i % 10) * 60 + i % 3 AS DOUBLE) AS x0, CAST((i % 10) * 60 + i % 3 + least(length(text), 9) * 6 AS DOUBLE) AS x1, CAST((i // 10) * 12 + i % 2 AS DOUBLE) AS top
-  FROM (SELECT doc_id AS page, unnest(range(len(s))) AS i, unnest(s) AS text FROM (SELECT doc_id, string_split_regex(text, '[ \\t\\n\\r\\f\\v]+') AS s FROM documents WHERE doc_id % 5 = 0)) WHERE text <> '')"""
+_PW = """w AS (SELECT page, i, text, CAST((i % 10) * 60 + i % 3 AS DOUBLE) AS x0, CAST((i % 10) * 60 + i % 3 + least(length(text), 9) * 6 AS DOUBLE) AS x1, CAST((i // 10) * 12 + i % 2 AS DOUBLE) AS top
+  FROM (SELECT doc_id AS page, unnest(range(len(s))) AS i, unnest(s) AS text FROM (SELECT doc_id, string_split_regex(text, '[ \\t\\n\\r\\f\\v]+') AS s FROM documents)) WHERE text <> '')"""
 
 
 @query(f"WITH {_PW} SELECT page, CAST(round_even(top / 8, 0) AS BIGINT) AS line, string_agg(text, ' ' ORDER BY x0, text) AS text FROM w GROUP BY 1, 2")
@@ -191,8 +188,8 @@ def words_to_columns(spark, sf_dir):
     return W.to_columns(words, cols, ["page"]).groupBy("page", "col").agg(F.count("*").alias("n"), F.round(F.sum("x0"), 3).alias("x"))
 
 
-@query(f"""WITH {_PW}, a AS (SELECT page, k AS row, k * 30.0 AS y FROM (SELECT DISTINCT page FROM w), (SELECT unnest(range(1, 6)) AS k)), d AS (SELECT DISTINCT page, text, x0, x1, top FROM w),
-  b AS (SELECT d.*, row FROM d JOIN a USING (page) QUALIFY row_number() OVER (PARTITION BY d.page, text, x0, x1, top ORDER BY abs(top - y), row) = 1) SELECT page, row, count(*) AS n FROM b GROUP BY 1, 2""")
+@query(f"""WITH {_PW}, a AS (SELECT page, k AS row, k * 30.0 AS y FROM (SELECT DISTINCT page FROM w), (SELECT unnest(range(1, 6)) AS k)), 
+  b AS (SELECT w.*, row FROM w JOIN a USING (page) QUALIFY row_number() OVER (PARTITION BY w.page, i ORDER BY abs(top - y), row) = 1) SELECT page, row, count(*) AS n FROM b GROUP BY 1, 2""")
 def nearest_anchor(spark, sf_dir):
     words = _page_words(spark, sf_dir).withColumn("col", F.lit(0))
     anchors = words.select("page").distinct().select("page", F.explode(F.expr("sequence(1, 5)")).alias("row")).withColumn("y", F.col("row") * 30.0)
