@@ -134,6 +134,7 @@ def test_stores(spark, tmp_path):
 
 def test_stream_cache(spark, tmp_path):
     src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     spark.createDataFrame([("k", 0.0, 0), ("k", 100.0, 1), ("k", 3601.0, 2), ("j", 5.0, 3)], "key string, ts double, id long").coalesce(1).write.parquet(src)
     q = S.stream_hits(spark.readStream.schema("key string, ts double, id long").parquet(src)).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp")).start(out)
     until = time.time() + 120
