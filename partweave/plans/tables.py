@@ -270,3 +270,9 @@ def url_prefix_mapping(spark, sf_dir):
 @query("SELECT event_id, CAST(json_extract_string(props, '$.page') AS VARCHAR) AS page FROM events")
 def json_props_parse(spark, sf_dir):
     return _t(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.page").alias("page"))
+
+
+@query()
+def bounded_cache_hits(spark, sf_dir):
+    """A cache of 64 entries for each type of event; evictions depend on all entries before, so a brute-force test stands for SQL."""
+    return S.accesses(_t(spark, sf_dir, "events").selectExpr("event_type AS cache", "cast(user_id AS string) AS key", "cast(cast(ts AS timestamp) AS double) AS ts", "event_id AS id"), ttl=86400)
