@@ -6,6 +6,8 @@ missing and no two sides are compared in full:
 * Short part numbers of like length leave two characters out at most to become their common subsequence, so they
   are joined on their texts with up to two characters left out.
 * A part number that must stand in a longer one as a whole is joined with the longer one's substrings.
+* Below a threshold of 0.8 those are too few: there the rarest counted characters of the shorter text, as many as it
+  may miss and one more, are joined with all of the longer one's, and the shared ones are counted.
 * Long ones share a run of characters by the pigeonhole principle; they are joined on their rarest runs, as many as
   the characters left out can destroy and one more.
 """
@@ -21,7 +23,8 @@ from partweave.functions import cells as C
 from partweave.functions import similarity as S
 from partweave.written import Written
 
-LEAST = 0.8  # thresholds below this are raised to it
+LEAST = 0.5  # the least threshold
+RUNS = 0.8  # from here candidates come from texts with characters left out and from runs
 MOST_LENGTH = 200  # lengths up to here decide the widths of runs; runs only grow beyond
 
 
@@ -47,9 +50,33 @@ def _band(x: str, y: str, threshold: float) -> Column:
     return 2 * F.least(m, n) >= threshold * (m + n)
 
 
+def _by_marks(old: DataFrame, new: DataFrame, t: float) -> DataFrame:
+    """All pairs that share enough counted characters for a ratio of ``t``, of the whole texts or of the shorter with a part."""
+    written = Written(old.sparkSession)
+    a, b = (written.table(d.select(F.col("canon").alias(c), S.marks("canon").alias(f"m{c}")), c) for d, c in ((old, "x"), (new, "y")))
+    part = t / S.PART_WEIGHT
+    inner = part / (2 - part)  # of the shorter text, if a part of the longer one is alike
+    least = min(t, inner)
+    ones = {c: d.select(c, F.explode(f"m{c}").alias("mark")) for d, c in ((a, "x"), (b, "y"))}
+    held = ones["x"].select("mark").union(ones["y"].select("mark")).groupBy("mark").agg(F.count("*").alias("n"))
+
+    def rarest(c: str) -> DataFrame:
+        ranked = ones[c].join(held, "mark").groupBy(c).agg(F.array_sort(F.collect_list(F.struct("n", "mark"))).alias("m"))  # as many as a part has characters
+        return ranked.select(c, F.explode(F.slice("m", 1, (F.length(c) - F.ceil(F.length(c) * least - 1e-9) + 1).cast("int"))).alias("m")).select(c, "m.mark")
+
+    m, n = F.length("x"), F.length("y")
+    pairs = rarest("x").join(ones["y"], "mark").where(m <= n).select("x", "y").union(ones["x"].join(rarest("y"), "mark").where(m > n).select("x", "y")).distinct()
+    shared = F.size(F.array_intersect("mx", "my"))
+    whole = shared >= t * (m + n) / 2 - 1e-9
+    within = (F.greatest(m, n) >= S.EVEN * F.least(m, n)) & (shared >= inner * F.least(m, n) - 1e-9)
+    return pairs.join(a, "x").join(b, "y").where(whole | within).select("x", "y")
+
+
 def candidates(old: DataFrame, new: DataFrame, threshold: float) -> DataFrame:
     """``old(canon)``, ``new(canon)``, distinct -> ``(x, y)``: all pairs that may reach the threshold, and some more."""
     t = threshold
+    if t < RUNS:
+        return _by_marks(old, new, t)
     short = max(m for m in range(1, MOST_LENGTH) if m - math.ceil(t * m / (2 - t)) <= 2)
     x = old.where(F.length("canon") <= short).select(F.col("canon").alias("x"), F.explode(_left_out(F.col("canon"))).alias("v"))
     y = new.where(F.length("canon") <= short).select(F.col("canon").alias("y"), F.explode(_left_out(F.col("canon"))).alias("v"))
@@ -92,7 +119,7 @@ def rename_pairs(old: DataFrame, new: DataFrame, threshold: float = 0.88, reject
     """``old(k)``, ``new(k)`` -> ``(old_k, new_k, score)``: in key order each old part takes the best new part still free.
 
     The score is ``similarity.weighted`` of the part numbers without punctuation; equal scores go to the lesser key.
-    ``threshold`` is held within ``LEAST`` and 1.  Comment keys and keys without letters or digits stay out; of
+    ``threshold`` is held within 0.5 and 1.  Comment keys and keys without letters or digits stay out; of
     keys with one canonical form the last stands for all.  ``rejected(a, b)`` names pairs a user refused: a part whose best match
     is refused gets none.  The order is kept by rounds: a part takes its best when no lesser undecided part could.
     """

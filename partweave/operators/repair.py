@@ -46,8 +46,7 @@ def alike(left: DataFrame, right: DataFrame, by: list[str], least: float = ALIKE
     """``left(*by, x)``, ``right(*by, y)``, distinct texts of letters and digits -> ``(*by, x, y, score)``: all pairs of ``least`` or more."""
     need = least / 2  # of both texts' characters together
     ratio = need / (1 - need)  # the shorter text's length is at least this part of the longer one's
-    count = "transform(sequence(1, length({0})), i -> concat(substring({0}, i, 1), length(substring({0}, 1, i)) - length(replace(substring({0}, 1, i), substring({0}, i, 1), ''))))"
-    some = lambda d, c: d.where(F.length(c) > 0).select(*by, F.col(c), F.expr(count.format(c)).alias("marks"))
+    some = lambda d, c: d.where(F.length(c) > 0).select(*by, F.col(c), S.marks(c).alias("marks"))
     written = Written(left.sparkSession)
     a, b = written.table(some(left, "x"), "x"), written.table(some(right, "y"), "y")
     marks = a.select(*by, F.explode("marks").alias("mark")).union(b.select(*by, F.explode("marks").alias("mark"))).groupBy(*by, "mark").agg(F.count("*").alias("n"))

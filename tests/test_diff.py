@@ -50,7 +50,7 @@ def test_similarity():
     assert S.token_set("bolt red", "red bolt x") == 1 and S.token_set("", "x") == 0 and S.loose("A-1", "a1") == 1 and S.partial("bcd", "abcde") == 1
 
 
-@pytest.mark.parametrize("threshold", [0.88, 0.8, 0.95])
+@pytest.mark.parametrize("threshold", [0.88, 0.8, 0.95, 0.5, 0.65])
 def test_renames_equal_all_pairs(spark, threshold):
     rng = random.Random(5)
     a = {"".join(rng.choice("AB12") for _ in range(rng.choice((1, 2, 3, 5, 7, 9, 12, 14, 18, 25, 40)))) for _ in range(70)}
