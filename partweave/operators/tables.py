@@ -29,15 +29,15 @@ def ranked(rows: DataFrame, order: list[tuple[Column, bool]], name: str = "rank"
     """
     written = Written(rows.sparkSession)
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    part, own = unused(rows, "range"), unused(rows, "own")
+    part, own, size = unused(rows, "range"), unused(rows, "own"), unused(rows, "size")
     keys = [f"{unused(rows, 'key')}{k}" for k in range(len(order))]
     dealt = rows.select("*", *[o.alias(k) for o, k in zip((c for c, _ in order), keys, strict=True)])
     by = [F.col(k).asc_nulls_last() if up else F.col(k).desc_nulls_last() for k, (_, up) in zip(keys, order, strict=True)]
     dealt = written.table(dealt.repartitionByRange(n, *by).withColumn(part, F.spark_partition_id()), "ranges")
     own_place = F.row_number().over(Window.partitionBy(part).orderBy(*by))
-    sizes = dealt.groupBy(part).agg(F.count("*").alias("c"))
-    before = sizes.withColumn("c", F.coalesce(F.sum("c").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # one row a range
-    return dealt.withColumn(own, own_place).join(F.broadcast(before), part).select(*rows.columns, (F.col(own) + F.col("c")).cast("long").alias(name))
+    sizes = dealt.groupBy(part).agg(F.count("*").alias(size))
+    before = sizes.withColumn(size, F.coalesce(F.sum(size).over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # one row a range
+    return dealt.withColumn(own, own_place).join(F.broadcast(before), part).select(*rows.columns, (F.col(own) + F.col(size)).cast("long").alias(name))
 
 
 def retain(rows: DataFrame, n: int, by: list[str], order: list[Column]) -> DataFrame:
