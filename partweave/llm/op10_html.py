@@ -7,7 +7,8 @@
 3. Paths are counted twice: over the host, and over the pages of one layout (the containers below the
    body), so layouts of a host do not hide one another's template.  A layout, and prose of an article
    (headings, paragraphs, items, cells), need ``FEW`` pages; other texts need two different pages.
-4. Template texts and page furniture (``FURNITURE``, ``FURNITURE_WORDS``) go, other texts are content.
+4. Template texts and page furniture (``FURNITURE``, classes and ids named by ``FURNITURE_WORDS`` alone) go, other
+   texts are content; the header of an article stays.
    Where a page marks its article outside furniture, content comes from there.
 
 Wrappers are joined by broadcast when their measured size is small, otherwise by a salted shuffle.
@@ -44,6 +45,9 @@ FURNITURE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer header login masthead menu "
     "modal nav navbar navigation newsletter notice notices pagination popup promo promoted related share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
+BESIDE = frozenset("area bar block bottom box container global inner item items left link links list main outer panel primary reader right secondary section site slot top unit user users wrap wrapper".split())
+FURNITURE_NAMES = frozenset("related-posts related-articles related-stories".split())
+OF_ARTICLES = frozenset("header masthead".split())  # furniture of pages, but of an article its title
 FURNITURE_ROLES = frozenset("alert banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 P_ENDS = BLOCK - {"html", "body", "td", "th", "li", "dd", "dt"}
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table", "tbody", "thead", "tfoot"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
@@ -63,8 +67,16 @@ class Node:
         self.order: list[int] = []
 
 
-def _words(value: str) -> set[str]:
-    return set(re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", value).lower()))
+@lru_cache(1 << 14)
+def _furniture(name: str, inside: bool) -> bool:
+    """Whether a class or id names furniture: by a word of it, with nothing but words of places beside it.
+
+    ``site-footer`` does, ``post-header`` and ``share-price`` do not; inside an article ``header`` does not.
+    """
+    name = re.sub(r"([a-z])([A-Z])", r"\1-\2", name).lower()
+    words = {w for w in re.split(r"[^a-z]+", name) if w}
+    hit = words & (FURNITURE_WORDS - OF_ARTICLES if inside else FURNITURE_WORDS)
+    return name in FURNITURE_NAMES or bool(hit) and words <= hit | BESIDE
 
 
 class _Tree(HTMLParser):
@@ -124,9 +136,10 @@ class _Tree(HTMLParser):
             for _ in range(2):
                 self._close(names, limits)
         got = dict(attrs)
-        named = f"{got.get('class') or ''} {got.get('id') or ''}".strip()
-        out = tag in FURNITURE or (got.get("role") or "").lower() in FURNITURE_ROLES or "hidden" in got or (got.get("aria-hidden") or "").lower() == "true"
-        out = out or (bool(named) and tag not in ("html", "body", "article", "main") and bool(_words(named) & FURNITURE_WORDS))
+        inside = bool(self.open["article"] or self.open["main"])
+        names = f"{got.get('class') or ''} {got.get('id') or ''}".split()
+        out = (tag in FURNITURE and not (inside and tag in OF_ARTICLES)) or (got.get("role") or "").lower() in FURNITURE_ROLES or "hidden" in got or (got.get("aria-hidden") or "").lower() == "true"
+        out = out or (tag not in ("html", "body", "article", "main") and any(_furniture(n, inside) for n in names))
         if tag in BLOCK or out:
             self._end_block()
         node = Node(tag, f"{tag}.{(got.get('class') or '').strip().lower()}", out)

@@ -31,6 +31,26 @@ def test_html_layouts(spark):
     assert got[20] == "Odd" and got[21] == "Shown"
 
 
+def test_html_class_names(spark):
+    """Only a class or id that names furniture and no more goes; an article's header keeps its title."""
+    kept = ("post-header", "entry-header", "social-science", "ad-hoc", "notice-board", "share-price", "related-work", "headers-and-footers", "commentary", "navy", "adHoc")
+    gone = ("ad", "site-footer", "mainMenu", "cookie-banner", "reader-comments", "ad_slot-2", "x related-posts", "sidebar-left", "AD")
+    rows = [(k, f"http://k{k}.example/", f"<body><div class='{c}'><p>Held</p></div><p>Body</p></body>") for k, c in enumerate(kept)]
+    rows += [(100 + k, f"http://g{k}.example/", f"<body><div id='{c.split()[-1]}' class='{c}'><p>Gone</p></div><p>Body</p></body>") for k, c in enumerate(gone)]
+    rows += [(200, "http://a.example/", "<body><header>Site</header><article><header class=header><h1>Title</h1></header><p>Body</p><footer>small</footer></article><header>Low</header></body>")]
+    got = texts(spark, rows)
+    assert all(got[k] == "Held\n\nBody" for k in range(len(kept))), got
+    assert all(got[100 + k] == "Body" for k in range(len(gone))), got
+    assert got[200] == "Title\n\nBody"
+
+
+def test_html_clashing_columns_and_null_ids(spark):
+    """Extra columns named as the operator's own, null ids and equal rows: all rows stay, each with its text."""
+    rows = [(None, "http://a.example/", "<p>One</p>", "h", 1, "w")] * 2 + [(1, "http://a.example/", "<p>Two</p>", None, 2, None)]
+    got = main_text(spark.createDataFrame(rows, PAGES + ", host string, key int, wrapper string"))
+    assert sorted((r["id"] or 0, r["text"]) for r in got.collect()) == [(0, "One"), (0, "One"), (1, "Two")]
+
+
 def test_html_deep(spark):
     """Depth is no limit: articles, furniture and end tags count below any number of elements."""
     deep = {0: ("<div>" * 100, "</div>" * 100), 1: ("<font>" * 100, ""), 2: ("<div>" * 5000, "</div>" * 5000), 3: ("<font>" * 5000, "")}
