@@ -154,3 +154,49 @@ def test_armoured_keys():
         kinds = [k for _, k, _ in confirmed_spans("x " + text)]
         assert kinds[:1] == [4], text
     assert [k for _, k, _ in confirmed_spans(f"{head}\nAAAA{sealed}\n{end}")] == []
+
+
+def test_tree_matching():
+    """The weight equals that of the textbook recursion, and the pairs are a matching of that weight in order."""
+    from partweave.llm import op10_html as H
+
+    def grow(r, depth):
+        kids = [grow(r, depth + 1) for _ in range(r.randrange(4) if depth < 4 else 0)]
+        return (r.randrange(3), r.choice((0, 0, 1, 2)), kids)
+
+    def told(t, depth=0):
+        return [(depth, t[0], 0, t[1]), *(x for k in t[2] for x in told(k, depth + 1))]
+
+    def weigh(a, b):
+        if a[0] != b[0]:
+            return 0
+        rows = [[0] * (len(b[2]) + 1) for _ in range(len(a[2]) + 1)]
+        for i, x in enumerate(a[2], 1):
+            for j, y in enumerate(b[2], 1):
+                rows[i][j] = max(rows[i - 1][j], rows[i][j - 1], rows[i - 1][j - 1] + weigh(x, y))
+        return 1 + (a[1] != 0 and a[1] == b[1]) + rows[-1][-1]
+
+    r = random.Random(10)
+    for _ in range(300):
+        names: dict = {}
+        a, b = grow(r, 0), grow(r, 0)
+        b = (a[0], b[1], b[2] + a[2][:2])  # part of the trees is equal
+        p, m = (H.Model(H.array("q", [v for node in told(t) for v in node]).tobytes(), names) for t in (a, b))
+        weight, pairs = H.align(p, m)
+        assert weight == weigh(a, b)
+        assert weight == sum(1 + (p.text[x] != 0 and p.text[x] == m.text[y]) for x, y in pairs.items())
+        assert list(pairs[x] for x in sorted(pairs)) == sorted(pairs.values()) and all(p.sig[x] == m.sig[y] for x, y in pairs.items())
+
+
+def test_html_wrapper_by_alignment(spark):
+    """Unmarked pages: constant nodes go, also beside optional ones of like signature; varying slots and rare nodes stay."""
+
+    def page(k):
+        rare = "<div>Breaking</div>" if k % 3 == 0 else ""
+        return f"<body><div>Our site</div>{rare}<div><h2>Head {k}</h2><p>Body {k}</p><h2>Background</h2><p>More {k}</p></div><div>Contact us</div><ul><li>Terms<li>Privacy</ul></body>"
+
+    rows = [(k, "http://a.example/x", page(k)) for k in range(12)] + [(20 + k, "http://same.example/", "<div>All</div><div>same</div>") for k in range(6)]
+    got = texts(spark, rows)
+    for k in range(12):
+        assert got[k] == ("Breaking\n\n" if k % 3 == 0 else "") + f"Head {k}\n\nBody {k}\n\nMore {k}", got[k]
+    assert got[20] == "All\n\nsame"
