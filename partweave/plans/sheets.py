@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from partweave.operators import diff as D
+from partweave.operators import export as E
+from partweave.operators import standard
 from partweave.plans.catalogue import _t, query
 from partweave.sources import sheets as S
 
@@ -63,13 +65,17 @@ def sheet_scan_diff(spark, sf_dir):
     return rows.select("k", "status", "old_line", "new_line", "old_qty", "old_description", "new_manufacturer", "new_vendor")
 
 
-def _chosen(spark, sf_dir):
-    """What a user chose for each sheet; designators of the second layout are chosen on the old side only."""
+def _names(spark):
+    """The names of the columns of each layout by role."""
     names = [("mpn", "qty", "refdes", "description"), ("Mfg P/N", "Qty.", "Ref Des", "Description"), ("Part Number", "Quantity", "Location", "Component"), ("MPN", "Qty", "Ref", "Description"), ("Vendor Part No", "QTY:", "Designator", "Remarks")]
     rows = [(k, role, name) for k in range(4) for role, name in zip(names[0], names[k + 1], strict=True)]
+    return spark.createDataFrame(rows, "layout int, role string, name string")
+
+
+def _chosen(spark, sf_dir):
+    """What a user chose for each sheet; designators of the second layout are chosen on the old side only."""
     sheets = _t(spark, sf_dir, "part").select("p_brand").distinct().selectExpr("explode(array(concat('old:', p_brand), concat('new:', p_brand))) AS sheet", "cast(substr(p_brand, 7) AS int) % 4 AS layout")
-    known = spark.createDataFrame(rows, "layout int, role string, name string")
-    return sheets.join(known, "layout").where("NOT (layout = 1 AND role = 'refdes' AND startswith(sheet, 'new:'))").select("sheet", "layout", "role", "name")
+    return sheets.join(_names(spark), "layout").where("NOT (layout = 1 AND role = 'refdes' AND startswith(sheet, 'new:'))").select("sheet", "layout", "role", "name")
 
 
 def _manual(spark, sf_dir):
@@ -101,3 +107,42 @@ def mapping_problems(spark, sf_dir):
     """Chosen columns that a sheet does not have, and sheets without a part-number column."""
     wrong = _chosen(spark, sf_dir).withColumn("name", F.expr("if(layout = 1 AND role = 'qty', 'Pieces', name)")).where("NOT (layout = 2 AND role = 'mpn')")
     return S.mapping_problems(raw_cells(spark, sf_dir), wrong, ["sheet"]).withColumn("available", F.array_join("available", "|"))
+
+
+_SIDES = f"""{_P}, sides AS (SELECT unnest(['old', 'new']) AS side), x AS (SELECT side, p_brand, id, l, [3, 0, 5, 1][l + 1] AS h, p_name, CASE WHEN l = 3 AND id % 10 = 1 THEN NULL WHEN side = 'new' AND id % 5 = 0 THEN ' ' || lower(p_brand) || '-' || id ELSE p_brand || '-' || id END AS mpn,
+  CASE WHEN side = 'new' AND id % 4 = 0 THEN p_size || ' pcs' WHEN side = 'new' AND id % 4 = 1 THEN CAST(p_size + 1 AS VARCHAR) ELSE CAST(p_size AS VARCHAR) END AS qty, CASE WHEN side = 'new' AND id % 6 = 0 THEN 'r' ELSE 'R' END || id AS refdes,
+  CASE WHEN l < 2 THEN p_name WHEN l = 3 THEN 'n/a' END AS description FROM p, sides WHERE NOT (side = 'new' AND id % 10 = 3) AND NOT (side = 'old' AND id % 10 = 7))"""
+
+
+@query(f"""WITH {_SIDES}, y AS (SELECT *, row_number() OVER (PARTITION BY side, p_brand ORDER BY id) AS n, bool_or(l = 3 AND id % 10 = 1) OVER (PARTITION BY side, p_brand) AS noted FROM x)
+SELECT side || ':' || p_brand AS sheet, h + 1 + id AS row, CAST(CASE WHEN l = 0 THEN id ELSE n END AS VARCHAR) AS item_number, CASE WHEN l = 0 THEN 'Acme' ELSE '' END AS manufacturer, trim(mpn) AS mpn, '' AS customer_pn,
+  CASE WHEN l = 3 THEN 'Depot' ELSE '' END AS vendor, CASE WHEN l = 3 THEN trim(mpn) ELSE '' END AS vendor_pn, qty, CAST(NULL AS VARCHAR) AS uom, refdes, CASE WHEN l = 3 AND noted THEN '' ELSE coalesce(description, '') END AS description, '' AS alternates FROM y WHERE mpn IS NOT NULL""")
+def standard_lists(spark, sf_dir):
+    """Fifty sheets of four layouts in the standard columns; notes stand for descriptions where a sheet has some."""
+    cells = raw_cells(spark, sf_dir)
+    headers = S.header_names(cells, ["sheet"])
+    below = cells.join(headers.select("sheet", "header_row").distinct(), "sheet").where("row > header_row").drop("header_row")
+    return standard.standard_rows(headers, below, ["sheet"])
+
+
+_TEMPLATE_NAMES = ", ".join(f"({k}, {header}, {col}, '{name}')" for k, (header, names, _) in enumerate(_LAYOUTS) for col, name in enumerate(names))
+
+
+@query(f"""WITH {_SIDES}, names AS (SELECT * FROM (VALUES {_TEMPLATE_NAMES}) AS v(l, h, col, name)), brands AS (SELECT DISTINCT p_brand, l FROM p),
+places AS (SELECT * FROM (VALUES (0, 'mpn', 2), (0, 'qty', 3), (0, 'refdes', 4), (0, 'description', 5), (1, 'mpn', 1), (1, 'qty', 2), (1, 'refdes', 3), (1, 'description', 0),
+  (2, 'mpn', 1), (2, 'qty', 0), (2, 'refdes', 3), (2, 'description', 2), (3, 'mpn', 2), (3, 'qty', 3), (3, 'refdes', 4), (3, 'description', 0)) AS v(l, role, col)),
+w AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY side = 'old', CASE WHEN side = 'new' THEN id END, upper(p_brand) || '-' || id) AS n FROM x WHERE side = 'new' OR id % 10 = 3),
+c AS (SELECT p_brand, h + n AS row, places.col, CASE role WHEN 'mpn' THEN mpn WHEN 'qty' THEN qty WHEN 'refdes' THEN refdes ELSE description END AS value,
+  CASE WHEN side = 'old' THEN 'FFFEE2E2' WHEN id % 10 = 7 THEN 'FFDCFCE7' WHEN role = 'qty' AND id % 4 = 1 AND mpn IS NOT NULL THEN 'FFFEF3C7' END AS tint FROM w JOIN places USING (l))
+SELECT p_brand AS brand, CAST(h AS BIGINT) AS row, col, name AS value, CAST(NULL AS VARCHAR) AS tint FROM brands JOIN names USING (l)
+UNION ALL SELECT p_brand, 0, 0, 'Bill of materials old:' || p_brand, NULL FROM brands WHERE l <> 1
+UNION ALL SELECT * FROM c WHERE value IS NOT NULL OR tint IS NOT NULL""")
+def template_export(spark, sf_dir):
+    """Each brand's new sheet in the template of its old one, names chosen in capitals, differences as tints, dropped parts at the end."""
+    cells = raw_cells(spark, sf_dir)
+    changes = E.change_table(D.diff(*_sides(S.logical_rows(cells, S.profile(cells, ["sheet"]), ["sheet"]))))
+    changes = changes.where("part LIKE 'BRAND#%'").withColumn("brand", F.expr("initcap(substring_index(part, '-', 1))"))
+    names = _t(spark, sf_dir, "part").select(F.col("p_brand").alias("brand")).distinct().withColumn("layout", F.expr("cast(substr(brand, 7) AS int) % 4"))
+    names = names.join(_names(spark), "layout").select("brand", "role", "name")
+    old, new = (side.withColumn("brand", F.expr("substr(sheet, 5)")).select("brand", "row", "col", "value") for side in _sides(cells))
+    return E.fill_template(old, names.withColumn("name", F.upper("name")), new, names, ["brand"], changes)
