@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from partweave.functions import cells as C
 from partweave.functions import similarity as S
+from partweave.operators.running import running
 
 FIELDS = ("refdes", "qty", "description", "manufacturer", "vendor")
 CELLS = ("mpn", *FIELDS, "comment")
@@ -229,15 +230,11 @@ def with_flags(rows: DataFrame, *flags: str) -> DataFrame:
 
 
 def forward_fill(rows: DataFrame, value: str, by: list[str], order: list[str], name: str = "filled") -> DataFrame:
-    """Blank cells take the last value above them within ``by``; cells before any value stay null.
-
-    A key's rows are one task's: for keys without bound cut them by ranges first.
-    """
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn(name, F.last(F.when(C.strip(F.col(value)) != "", F.col(value)), ignorenulls=True).over(w))
+    """Blank cells take the last value above them within ``by``; cells before any value stay null.  Keys may be of any size."""
+    return running(rows, by, order, last={name: F.when(C.strip(F.col(value)) != "", F.col(value))})
 
 
 def fill_merged(rows: DataFrame, columns: list[str], by: list[str], order: list[str]) -> DataFrame:
     """``forward_fill`` of several columns in place, as merged cells leave all but their first row blank."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumns({c: F.coalesce(F.last(F.when(C.strip(F.col(c)) != "", F.col(c)), ignorenulls=True).over(w), F.lit("")) for c in columns})
+    filled = running(rows, by, order, last={c: F.when(C.strip(F.col(c)) != "", F.col(c)) for c in columns})
+    return filled.withColumns({c: F.coalesce(c, F.lit("")) for c in columns})

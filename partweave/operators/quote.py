@@ -6,10 +6,11 @@ column), ``row`` for the order, and the columns ``by`` (one at least) that tell
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from partweave.functions import cells as C
+from partweave.operators.running import numbered
 
 CELLS = ("item", "description", "maker", "part", "qty")
 
@@ -65,8 +66,7 @@ def merge_placements(rows: DataFrame, by: list[str]) -> DataFrame:
 
 
 def number_lines(rows: DataFrame, by: list[str]) -> DataFrame:
-    w = Window.partitionBy(*by).orderBy("row")
-    return rows.select(*by, F.row_number().over(w).cast("long").alias("line"), *CELLS)
+    return numbered(rows, by, ["row"]).select(*by, "line", *CELLS)
 
 
 def suspects(rows: DataFrame) -> DataFrame:
