@@ -7,12 +7,12 @@ lines the least row.  Rows without key (no part number and no comment) are dropp
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from partweave.functions import cells as C
 from partweave.functions import similarity as S
-from partweave.operators.running import running
+from partweave.operators.running import numbered, running
 
 FIELDS = ("refdes", "qty", "description", "manufacturer", "vendor")
 CELLS = ("mpn", *FIELDS, "comment")
@@ -121,8 +121,7 @@ def fold_aliases(rows: DataFrame, aliases: DataFrame) -> DataFrame:
     def side(status: str, name: str) -> DataFrame:
         part = F.upper(C.strip(F.coalesce(F.col(f"{name}_mpn"), F.lit(""))))
         x = rows.where(F.col("status") == status).select("k", F.col(f"{name}_line").alias("line"), part.alias("mpn")).join(aliases.select("mpn", "canon"), "mpn")
-        w = Window.partitionBy("canon").orderBy("line", "k")
-        return x.select("canon", F.col("k").alias(f"{name}_k"), F.row_number().over(w).alias("place"))
+        return numbered(x, ["canon"], ["line", "k"], "place").select("canon", F.col("k").alias(f"{name}_k"), "place")
 
     pairs = side("removed", "old").join(side("new", "new"), ["canon", "place"]).select("old_k", "new_k")
     return _promote(rows, pairs, True)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from partweave.operators.running import numbered, running, unused
 from partweave.written import Written
 
 
@@ -14,13 +15,6 @@ def latest(rows: DataFrame, keys: list[str], order: list[Column | str]) -> DataF
     return best.select("b_.row_.*")
 
 
-def unused(rows: DataFrame, name: str) -> str:
-    """A column name that ``rows`` does not have."""
-    while name in rows.columns:
-        name += "_"
-    return name
-
-
 def ranked(rows: DataFrame, order: list[tuple[Column, bool]], name: str = "rank") -> DataFrame:
     """Adds the place of each row in the whole order (from 1): ``order`` has columns with whether they ascend, nulls last.
 
@@ -50,11 +44,10 @@ def retain(rows: DataFrame, n: int, by: list[str], order: list[Column]) -> DataF
 def continuation(rows: DataFrame, by: list[str], order: str | list[str], anchor: Column, text: str, sep: str = "\n") -> DataFrame:
     """-> ``(*by, grp, first, n, text)``: rows that follow an anchor join it; rows before any are group 0.
 
-    Further columns of ``order`` settle ties.  A key's rows are numbered in one task, so keys should be bounded.
+    Further columns of ``order`` settle ties.  Keys may be of any size; the rows that follow one anchor become one text.
     """
     order, ties = (order, []) if isinstance(order, str) else (order[0], order[1:])
-    w = Window.partitionBy(*by).orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, 0)
-    g = rows.withColumn("grp", F.sum(F.when(anchor, 1).otherwise(0)).over(w))
+    g = running(rows, by, [order, *ties], total={"grp": F.when(anchor, 1).otherwise(0)})
     parts = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), *ties, F.coalesce(text, F.lit("")).alias("t"))))
     out = g.groupBy(*by, "grp").agg(F.min(order).alias("first"), F.count("*").alias("n"), parts.alias("p"))
     return out.select(*by, "grp", "first", "n", F.array_join(F.transform("p", lambda x: x["t"]), sep).alias("text"))
@@ -86,17 +79,15 @@ def upper_median(rows: DataFrame, by: list[str], value: str) -> DataFrame:
 def islands(rows: DataFrame, by: list[str], at: str) -> DataFrame:
     """-> ``(*by, lo, hi, n)``: the runs of consecutive whole numbers."""
     d = rows.select(*by, at).distinct()
-    w = Window.partitionBy(*by).orderBy(at)
-    run = (F.col(at) - F.row_number().over(w)).alias("run__")
-    return d.select(*by, at, run).groupBy(*by, "run__").agg(F.min(at).alias("lo"), F.max(at).alias("hi"), F.count("*").alias("n")).drop("run__")
+    d = numbered(d, by, [at], "place__")
+    return d.select(*by, at, (F.col(at) - F.col("place__")).alias("run__")).groupBy(*by, "run__").agg(F.min(at).alias("lo"), F.max(at).alias("hi"), F.count("*").alias("n")).drop("run__")
 
 
 def gap_clusters(rows: DataFrame, by: list[str], order: list[str], at: str, gap: float) -> DataFrame:
     """Adds ``cluster``: it grows by one wherever ``at`` lies more than ``gap`` after the row before."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    new = F.when(F.col(at) - F.lag(at).over(w) > gap, 1).otherwise(0)
-    first = unused(rows, "first")
-    return rows.withColumn(first, new).withColumn("cluster", F.sum(first).over(w.rowsBetween(Window.unboundedPreceding, 0))).drop(first)
+    prior = unused(rows, "prior")
+    seen = running(rows, by, order, above={prior: F.struct(F.col(at).alias("at"))})  # a struct, as the row before may hold a null
+    return running(seen, by, order, total={"cluster": F.when(F.col(at) - F.col(f"{prior}.at") > gap, 1).otherwise(0)}).drop(prior)
 
 
 def alias_fold(removed: DataFrame, added: DataFrame, order: str) -> DataFrame:

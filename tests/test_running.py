@@ -46,3 +46,16 @@ def test_ties_and_empty(spark):
     assert got == [(0, ""), (1, "a"), (1, "a"), (2, "a")]
     assert sorted(r["n"] for r in numbered(d, ["k"], ["at"], "n").collect()) == [1, 2, 3, 4]
     assert D.forward_fill(d.limit(0), "v", ["k"], ["at"]).columns == ["k", "at", "v", "filled"] and numbered(d.limit(0), ["k"], ["at"]).count() == 0
+
+
+def test_rows_before(spark):
+    """The row before counts also where it stands in the range before; nulls there start no cluster."""
+    from partweave.operators import tables as T
+
+    rows = [("k", i, None if i % 7 == 3 else float(i * i)) for i in range(200)]
+    got = {r["i"]: r["cluster"] for r in T.gap_clusters(spark.createDataFrame(rows, "k string, i int, at double"), ["k"], ["i"], "at", 50.0).collect()}
+    cluster, prior = 0, None
+    for _, i, at in rows:
+        cluster += at is not None and prior is not None and at - prior > 50
+        assert got[i] == cluster
+        prior = at
