@@ -3,8 +3,8 @@
 Part numbers are compared without punctuation.  Pairs that can reach the threshold are found by equi-joins, none is
 missing and no two sides are compared in full:
 
-* Short part numbers of like length leave two characters out at most to become their common subsequence, so they
-  are joined on their texts with up to two characters left out.
+* Short part numbers of like length leave few characters out to become their common subsequence.  What two lengths
+  must share is a number, so each is joined on its texts of just that length; only pairs that reach the threshold meet.
 * A part number that must stand in a longer one as a whole is joined with the longer one's substrings.
 * Below a threshold of 0.8 those are too few: there the rarest counted characters of the shorter text, as many as it
   may miss and one more, are joined with all of the longer one's, and the shared ones are counted.
@@ -25,15 +25,41 @@ from partweave.written import Written
 
 LEAST = 0.5  # the least threshold
 RUNS = 0.8  # from here candidates come from texts with characters left out and from runs
+MOST_LEFT = 1500  # texts with characters left out that one part number may give
 MOST_LENGTH = 200  # lengths up to here decide the widths of runs; runs only grow beyond
 
 
-def _left_out(canon: Column) -> Column:
-    """The text and all texts with one or two of its characters left out."""
-    return F.expr(
-        "array_distinct(concat(array({0}), transform(sequence(1, length({0})), i -> concat(left({0}, i - 1), substr({0}, i + 1))),"
-        " flatten(transform(sequence(1, length({0})), i -> transform(sequence(i, length({0}) - 1), j -> concat(left({0}, i - 1), substr({0}, i + 1, j - i), substr({0}, j + 2)))))))".format("canon")
-    )
+def _kept(m: int, n: int, t: float) -> int:
+    """The length of the common subsequence that texts of these lengths need for a ratio of ``t``; more than the shorter has: none reach it."""
+    return math.ceil(t * (m + n) / 2 - 1e-9)
+
+
+def _left_out(t: float, m: int, longest: int) -> dict[int, list[int]]:
+    """How many characters a text of length ``m`` leaves out for the common subsequence -> the lengths of texts it does so for."""
+    out: dict[int, list[int]] = {}
+    for n in range(1, longest + 1):
+        if _kept(m, n, t) <= min(m, n):
+            out.setdefault(m - _kept(m, n, t), []).append(n)
+    return out
+
+
+def _shortened(texts: DataFrame, t: float, short: int) -> DataFrame:
+    """``texts(canon)`` up to ``short`` -> ``(canon, size, other, v)``: what is left of a text for each length of the other one."""
+    every = {m: _left_out(t, m, short) for m in range(1, short + 1)}
+    cut = "transform(sequence(r.at, length(r.v)), i -> struct(i AS at, concat(left(r.v, i - 1), substr(r.v, i + 1)) AS v))"
+    n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a small table is few files, but each text gives many
+    x, out = texts.where(F.length("canon").between(1, short)).repartition(n, "canon").select("canon", F.length("canon").alias("size"), F.expr("array(struct(1 AS at, canon AS v))").alias("l")), None
+    for k in range(max(k for per in every.values() for k in per) + 1):
+        if k:  # characters go from left to right, so no set of places comes twice
+            x = x.withColumn("l", F.expr(f"flatten(transform(filter(l, r -> r.at <= length(r.v)), r -> {cut}))"))
+        sizes = {m: per[k] for m, per in every.items() if k in per}
+        if sizes:
+            others = F.create_map(*[c for m, ns in sizes.items() for c in (F.lit(m), F.array(*map(F.lit, ns)))])
+            step = x.where(F.col("size").isin(*sizes)).select("canon", "size", F.explode(F.array_distinct(F.col("l.v"))).alias("v"))
+            step = step.select("canon", "size", F.explode(F.try_element_at(others, F.col("size"))).alias("other"), "v")
+            out = step if out is None else out.union(step)
+        x = x.where(F.col("size").isin(*[m for m, per in every.items() if max(per) > k])) if any(max(per) > k for per in every.values()) else x
+    return out
 
 
 def _runs(parts: DataFrame, width: int, most: Column) -> DataFrame:
@@ -77,23 +103,26 @@ def candidates(old: DataFrame, new: DataFrame, threshold: float) -> DataFrame:
     t = threshold
     if t < RUNS:
         return _by_marks(old, new, t)
-    short = max(m for m in range(1, MOST_LENGTH) if m - math.ceil(t * m / (2 - t)) <= 2)
-    x = old.where(F.length("canon") <= short).select(F.col("canon").alias("x"), F.explode(_left_out(F.col("canon"))).alias("v"))
-    y = new.where(F.length("canon") <= short).select(F.col("canon").alias("y"), F.explode(_left_out(F.col("canon"))).alias("v"))
-    out = x.join(y, "v").where(_band("x", "y", t)).select("x", "y")
+    short = 1
+    while short < MOST_LENGTH - 1 and sum(math.comb(short + 1, k) * len(ns) for k, ns in _left_out(t, short + 1, 2 * short + 2).items()) <= MOST_LEFT:
+        short += 1
+    # a subsequence of the length that a pair needs is all that the pair shares, so only pairs that reach the threshold meet
+    x = _shortened(old, t, short).select(F.col("canon").alias("x"), F.col("size").alias("m"), F.col("other").alias("n"), "v")
+    y = _shortened(new, t, short).select(F.col("canon").alias("y"), F.col("other").alias("m"), F.col("size").alias("n"), "v")
+    out = x.join(y.hint("merge"), ["m", "n", "v"]).select("x", "y").distinct()  # sizes are guessed from the texts alone, so a broadcast would be far too large
 
     both = old.select(F.lit("x").alias("side"), "canon").union(new.select(F.lit("y"), "canon"))
 
-    def by_runs(width: int, lost: Column, fits: Column) -> DataFrame:
-        runs = _runs(both, width, lost * width + 1)
+    def by_runs(width: int, lost: Column, fits: Column, least: int) -> DataFrame:
+        runs = _runs(both.where(F.length("canon") >= least), width, lost * width + 1)
         a, b = (runs.where(F.col("side") == s).select("run", F.col("canon").alias(s)) for s in ("x", "y"))
         return a.join(b, "run").where(fits).select("x", "y")
 
     # like lengths: L >= t (m + n) / 2, d = m + n - 2 L characters are left out, d + 1 runs at most
-    like = [(m, n) for m in range(1, MOST_LENGTH) for n in range(m, int(m * (2 - t) / t) + 1) if n > short]
+    like = [(m, n) for m in range(1, 2 * MOST_LENGTH) for n in range(m, int(m * (2 - t) / t) + 1) if n > short]
     width = min(math.ceil(math.ceil(t * (m + n) / 2) / (m + n - 2 * math.ceil(t * (m + n) / 2) + 1)) for m, n in like)
     n = F.length("canon")
-    out = out.union(by_runs(width, F.floor(n * 2 / t * (1 - t)).cast("int"), _band("x", "y", t) & (F.greatest(F.length("x"), F.length("y")) > short)))
+    out = out.union(by_runs(width, F.floor(n * 2 / t * (1 - t)).cast("int"), _band("x", "y", t) & (F.greatest(F.length("x"), F.length("y")) > short), min(m for m, _ in like)))
 
     if t <= S.PART_WEIGHT:  # a part of the longer text with a ratio of t / PART_WEIGHT
         best = t / S.PART_WEIGHT
@@ -111,7 +140,7 @@ def candidates(old: DataFrame, new: DataFrame, threshold: float) -> DataFrame:
         width = min(math.ceil(k / (int(2 * m * (1 - best)) + 1)) for m, k in need.items())
         m = F.least(F.length("x"), F.length("y"))
         apart = (F.greatest(F.length("x"), F.length("y")) >= S.EVEN * m) & (F.greatest(F.length("x"), F.length("y")) <= S.LONG * m) & (m > whole)
-        out = out.union(by_runs(width, F.length("canon"), apart))  # all runs: the longer text has more of its own
+        out = out.union(by_runs(width, F.length("canon"), apart, whole + 1))  # all runs: the longer text has more of its own
     return out.distinct()
 
 

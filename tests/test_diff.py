@@ -88,3 +88,21 @@ def test_empty_and_duplicates(spark):
 
 def test_entry(spark):
     assert {r["status"] for r in entry.entry(spark).collect()} <= {"new", "removed", "modified", "unchanged"}
+
+
+def test_rename_pairs_of_like_numbers_meet_only_where_they_reach_the_threshold(spark):
+    """Long part numbers that share most of their runs are no candidates unless enough characters are common; none is missing."""
+    import math
+    import random
+
+    from partweave.functions import similarity as S
+    from partweave.operators import rename as R
+
+    draw = random.Random(5)
+    old = sorted({f"BRAND1{draw.randrange(10)}{draw.randrange(10**6):06d}" + draw.choice(["", "TR"]) for _ in range(60)})
+    new = sorted({x[: k % len(x)] + draw.choice("0159A") + x[k % len(x) + draw.randrange(2) :] for k, x in enumerate(old)} | {f"BRAND1{draw.randrange(10)}{draw.randrange(10**6):06d}TR" for _ in range(60)})
+    got = R.candidates(*(spark.createDataFrame([(x,) for x in side], "canon string") for side in (old, new)), 0.88).collect()
+    pairs = {(r["x"], r["y"]) for r in got}
+    assert len(pairs) == len(got)
+    assert pairs == {(a, b) for a in old for b in new if S.common(a, b) >= math.ceil(0.88 * (len(a) + len(b)) / 2 - 1e-9)}
+    assert {p for p in pairs if S.weighted(*p) >= 0.88} == {(a, b) for a in old for b in new if S.weighted(a, b) >= 0.88}
