@@ -73,8 +73,12 @@ def matches(suspects: DataFrame, reading: DataFrame, by: list[str]) -> DataFrame
     first = r.where("i <> ''").groupBy(*by, "i").agg(F.min("line").alias("other"))
     by_item = written.table(s.join(first, [*by, "i"]).select(*by, "line", "other"), "items")
     rest = s.join(by_item, [*by, "line"], "left_anti").where("d <> ''").select(*by, "line", _form("d").alias("x"))
-    pairs = alike(rest.select(*by, "x").distinct(), r.select(*by, "y").distinct(), by)
     places = r.groupBy(*by, "y").agg(F.min("line").alias("other"))
+    # nothing is more alike than an equal text, so only texts without one are compared with others
+    same = written.table(rest.join(places.withColumnRenamed("y", "x"), [*by, "x"]).select(*by, "line", "x", "other"), "same")
+    rest = written.table(rest.join(same.select(*by, "x").distinct(), [*by, "x"], "left_anti"), "rest")
+    by_item = by_item.unionByName(same.drop("x"))
+    pairs = alike(rest.select(*by, "x").distinct(), r.join(rest.select(*by).distinct(), by, "left_semi").select(*by, "y").distinct(), by)
     best = pairs.join(places, [*by, "y"]).groupBy(*by, "x").agg(F.min(F.struct((-F.col("score")).alias("s"), "other")).alias("b"))
     return by_item.unionByName(rest.join(best, [*by, "x"]).select(*by, "line", "b.other"))
 

@@ -47,3 +47,17 @@ def test_report_and_repair(spark):
     assert fixed["t", 3]["part"] == "RC0402" and fixed["t", 3]["qty"] == "4" and fixed["t", 3]["changed"] and not fixed["t", 5]["changed"] and fixed["sure", 1]["part"] == "??" and len(fixed) == len(own)
     none = rows(spark, [])
     assert R.report(none, none, confidence, ["doc"]).count() == 0
+
+
+def test_rows_with_an_equal_text_are_not_compared_with_others(spark, monkeypatch):
+    from partweave.operators import repair as R
+
+    seen = []
+    real = R.alike
+    monkeypatch.setattr(R, "alike", lambda left, right, by: seen.extend((r["x"] for r in left.collect())) or real(left, right, by))
+    rows = "doc string, line int, item string, description string"
+    own = spark.createDataFrame([("t", k, "", f"cold bolt {k}") for k in range(20)] + [("t", 20, "", "hot plate 7x"), ("u", 1, "", "cold bolt 3")], rows)
+    other = spark.createDataFrame([("t", 100 - k, "", f"COLD bolt, {k}.") for k in range(20)] + [("t", 101, "", "cold-bolt 4"), ("t", 102, "", "hot plate 7"), ("u", 5, "", "cold bolt 33")], rows)
+    got = {(r["doc"], r["line"]): r["other"] for r in R.matches(own, other, ["doc"]).collect()}
+    assert got == {**{("t", k): 100 - k for k in range(20)}, ("t", 20): 102, ("u", 1): 5}
+    assert sorted(seen) == ["coldbolt3", "hotplate7x"]
