@@ -38,3 +38,8 @@ def test_words_are_not_shuffled(spark, name):
     """Only the texts are dealt, by document; no step deals words, lines or places again."""
     found = plan(entry.queries()[name](spark, "/root/testdata/sf0.001"))
     assert "REPARTITION_BY_NUM" in found and "ENSURE_REQUIREMENTS" not in found
+
+
+@pytest.mark.parametrize("name", ["parts_lines", "anchored_lines"])
+def test_lines_are_dealt_once(spark, name):
+    assert "REPARTITION_BY_NUM" in plan(entry.queries()[name](spark, "/root/testdata/sf0.001"))
