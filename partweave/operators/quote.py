@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from partweave.functions import cells as C
 from partweave.operators.running import numbered
+from partweave.written import Written
 
 CELLS = ("item", "description", "maker", "part", "qty")
 
@@ -36,7 +37,8 @@ def clean_rows(rows: DataFrame, by: list[str], item_is_part: bool = False, glued
     Where all quantities are blank and a part repeats, rows of a part become one with their number as quantity.
     """
     empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    d = rows.select(*by, "row", *[empty(c).alias(c) for c in CELLS], F.col("qty").isNotNull().alias("has_qty"))
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a table of few bytes is few tasks, but each row costs much
+    d = rows.repartition(n, *by, "row").select(*by, "row", *[empty(c).alias(c) for c in CELLS], F.col("qty").isNotNull().alias("has_qty"))
     d = d.where(~C.junk_row("description", "part") | C.has_real_part("item"))
     # one struct a step, each bound once, so that no cell's expression is repeated in the next
     split = C.split_glued_description if item_is_part else C.split_bled_words
@@ -48,7 +50,7 @@ def clean_rows(rows: DataFrame, by: list[str], item_is_part: bool = False, glued
         x["item"].alias("item"), x["description"].alias("description"), C.drop_wire_colour(m["maker"], x["description"]).alias("maker"), m["part"].alias("part"), x["qty"].alias("qty"))))
     d = d.select(*by, "row", "maker", texts.alias("x")).select(*by, "row", F.inline(F.array(makers)))
     d = d.where(~(C.blank("part") & C.blank("description") & C.blank("item"))).select(*by, "row", *CELLS)
-    return number_lines(merge_placements(d, by), by)
+    return number_lines(merge_placements(Written(rows.sparkSession).table(d, "cleaned"), by), by)  # cleaned once, read twice
 
 
 def merge_placements(rows: DataFrame, by: list[str]) -> DataFrame:
