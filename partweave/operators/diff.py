@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from partweave.functions import cells as C
 from partweave.functions import similarity as S
 from partweave.operators.running import numbered, running
+from partweave.written import Written
 
 FIELDS = ("refdes", "qty", "description", "manufacturer", "vendor")
 CELLS = ("mpn", *FIELDS, "comment")
@@ -116,8 +117,11 @@ def apply_renames(rows: DataFrame, pairs: DataFrame) -> DataFrame:
 def fold_aliases(rows: DataFrame, aliases: DataFrame) -> DataFrame:
     """Removed and new parts of one alias group ``aliases(mpn, canon)`` become modified rows, one to one in line order.
 
-    Only parts that have an alias fold.  A group with more parts on one side leaves the rest as they are.
+    Only parts that have an alias fold.  A group with more parts on one side leaves the rest as they are.  The rows are
+    written once, as both sides, the pairs' rows and the rest read them.
     """
+    rows = Written(rows.sparkSession).table(rows, "rows")
+
     def side(status: str, name: str) -> DataFrame:
         part = F.upper(C.strip(F.coalesce(F.col(f"{name}_mpn"), F.lit(""))))
         x = rows.where(F.col("status") == status).select("k", F.col(f"{name}_line").alias("line"), part.alias("mpn")).join(aliases.select("mpn", "canon"), "mpn")

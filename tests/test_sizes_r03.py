@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from partweave.operators import diff as D
 from partweave.operators import quote as Q
 
 
@@ -21,3 +22,11 @@ def test_rows_are_cleaned_once(spark):
     rows, seen = counted(spark, rows, "description")
     assert sorted((r["line"], r["part"], r["qty"]) for r in Q.clean_rows(rows, ["doc"]).collect()) == [(k + 1, f"XY{k}", "1") for k in range(20)]
     assert seen.value == 20
+
+
+def test_rows_are_read_once_to_fold_aliases(spark):
+    revision = lambda p: spark.createDataFrame([(f"{p}{k}", k) for k in range(5)], "mpn string, line long")
+    rows, seen = counted(spark, D.diff(revision("a"), revision("b")), "status")
+    aliases = spark.createDataFrame([("A1", "x"), ("B3", "x"), ("A4", "y")], "mpn string, canon string")
+    assert {r["status"]: r["n"] for r in D.summary(D.fold_aliases(rows, aliases)).collect()} == {"modified": 1, "removed": 4, "new": 4}
+    assert seen.value == 10
