@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from partweave.operators import diff as D
 from partweave.operators import quote as Q
+from partweave.operators import words as W
 
 
 def counted(spark, rows, column):
@@ -30,3 +31,12 @@ def test_rows_are_read_once_to_fold_aliases(spark):
     aliases = spark.createDataFrame([("A1", "x"), ("B3", "x"), ("A4", "y")], "mpn string, canon string")
     assert {r["status"]: r["n"] for r in D.summary(D.fold_aliases(rows, aliases)).collect()} == {"modified": 1, "removed": 4, "new": 4}
     assert seen.value == 10
+
+
+def test_lines_of_a_page_without_its_words_in_one_array(spark):
+    rows = [("p", f"w{k}", k % 7, 5 * k, 6, 12) for k in range(40)] + [("p", "none", 0, None, 6, 12), ("p", "none too", 0, None, 6, 12), (None, "x", 0, 3, 6, 50), (None, "y", 0, 33, 6, 50), (None, "z", 0, 34, 6, 50)]
+    got = W.group_lines(spark.createDataFrame(rows, "doc string, text string, left int, top int, width int, height int"), ["doc"])
+    # tolerance 8: two tops of a run share a line, after the two words without a top
+    want = {("p", f"w{k}"): 2 + k // 2 for k in range(40)} | {("p", "none"): 0, ("p", "none too"): 1, (None, "x"): 0, (None, "y"): 0, (None, "z"): 1}
+    assert {(r["doc"], r["text"]): r["line"] for r in got.collect()} == want
+    assert "collect_list(struct" not in got._jdf.queryExecution().optimizedPlan().toString()
