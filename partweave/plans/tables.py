@@ -166,9 +166,16 @@ def matrix_explode(spark, sf_dir):
     return H.explode_matrix(heads, cells, ["doc"]).withColumn("item", F.col("item").cast("long"))
 
 
+DEALT = 8 << 20  # bytes of documents a task, which become some twenty times as much in words
+
+
 def by_document(spark, sf_dir):
-    """The documents dealt by their ids: what is drawn from one stays in its task, so words and lines are not shuffled again."""
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    """The documents dealt by their ids: what is drawn from one stays in its task, so words and lines are not shuffled again.
+
+    The tasks grow with the documents' files, whose lengths are read without their contents, so a task's share does not.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{sf_dir}/documents.parquet")
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(files.agg(F.sum("length")).first()[0] or 0) // DEALT))
     return _t(spark, sf_dir, "documents").select("doc_id", "text").repartition(n, "doc_id")
 
 
