@@ -19,3 +19,9 @@ def test_texts_are_dealt_by_their_size(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(T, "DEALT", 500)
     few = T.by_document(spark, str(tmp_path))
     assert few.rdd.getNumPartitions() > 8 and few.count() == 50
+
+
+def test_wide_cells_meet_their_names_without_a_join(spark):
+    got = X.wide_table(lines(spark), ["doc"])
+    assert {r["name"] for r in got.collect()} == {"Item", "Mfg", "Description", "Qty"} and got.count() == 56
+    assert plan(got).count("Join ") == 1
