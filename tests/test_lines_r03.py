@@ -25,3 +25,9 @@ def test_wide_cells_meet_their_names_without_a_join(spark):
     got = X.wide_table(lines(spark), ["doc"])
     assert {r["name"] for r in got.collect()} == {"Item", "Mfg", "Description", "Qty"} and got.count() == 56
     assert plan(got).count("Join ") == 1
+
+
+def test_text_cells_are_cut_once_a_row(spark):
+    got = X.text_table(lines(spark), ["doc"])
+    assert {(r["row"], r["name"], r["text"]) for r in got.where("doc = 1 AND row = 3").collect()} == {(3, "Item", "3"), (3, "Mfg Part Number", "PN3-77"), (3, "Description", "bolt a3"), (3, "Qty", "3")}
+    assert plan(got).count("arrays_zip(") == 1
