@@ -118,9 +118,10 @@ def fold_aliases(rows: DataFrame, aliases: DataFrame) -> DataFrame:
     """Removed and new parts of one alias group ``aliases(mpn, canon)`` become modified rows, one to one in line order.
 
     Only parts that have an alias fold.  A group with more parts on one side leaves the rest as they are.  The rows are
-    written once, as both sides, the pairs' rows and the rest read them.
+    written once, as both sides, the pairs' rows and the rest read them, and so are the pairs.
     """
-    rows = Written(rows.sparkSession).table(rows, "rows")
+    written = Written(rows.sparkSession)
+    rows = written.table(rows, "rows")
 
     def side(status: str, name: str) -> DataFrame:
         part = F.upper(C.strip(F.coalesce(F.col(f"{name}_mpn"), F.lit(""))))
@@ -128,7 +129,7 @@ def fold_aliases(rows: DataFrame, aliases: DataFrame) -> DataFrame:
         return numbered(x, ["canon"], ["line", "k"], "place").select("canon", F.col("k").alias(f"{name}_k"), "place")
 
     pairs = side("removed", "old").join(side("new", "new"), ["canon", "place"]).select("old_k", "new_k")
-    return _promote(rows, pairs, True)
+    return _promote(rows, written.table(pairs, "pairs"), True)
 
 
 def reclassify(rows: DataFrame) -> DataFrame:

@@ -186,4 +186,5 @@ def rename_pairs(old: DataFrame, new: DataFrame, threshold: float = 0.88, reject
     found = out[0]
     for more in out[1:]:
         found = found.union(more)
-    return found.where("NOT refused").select("old_k", "new_k", "score")
+    # one table instead of one a round, as those who apply the pairs read them several times
+    return written.table(found.where("NOT refused").select("old_k", "new_k", "score"), "pairs")

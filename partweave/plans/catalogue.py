@@ -11,6 +11,7 @@ from partweave.functions.text import digest
 from partweave.operators import components as G
 from partweave.operators import diff as D
 from partweave.operators import rename as R
+from partweave.written import Written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -165,7 +166,7 @@ def diff_description_drift(spark, sf_dir):
 def diff_figures(spark, sf_dir):
     """The whole flow: keys, renames, aliases, reclassification, drift, figures."""
     old, new = revisions(spark, sf_dir)
-    rows = D.diff(old, new)
+    rows = Written(spark).table(D.diff(old, new), "diff")  # the keys of both sides and the renames read it
     keys = {s: rows.where(f"status = '{s}'").select("k") for s in ("removed", "new")}
     rows = D.apply_renames(rows, R.rename_pairs(keys["removed"], keys["new"]))
     rows = D.fold_aliases(rows, G.canonical_names(_aliases(spark, sf_dir)))

@@ -4,7 +4,9 @@ from pyspark.sql import functions as F
 
 from partweave.operators import diff as D
 from partweave.operators import quote as Q
+from partweave.operators import rename as R
 from partweave.operators import words as W
+from partweave.plans.catalogue import QUERIES
 
 
 def counted(spark, rows, column):
@@ -40,3 +42,19 @@ def test_lines_of_a_page_without_its_words_in_one_array(spark):
     want = {("p", f"w{k}"): 2 + k // 2 for k in range(40)} | {("p", "none"): 0, ("p", "none too"): 1, (None, "x"): 0, (None, "y"): 0, (None, "z"): 1}
     assert {(r["doc"], r["text"]): r["line"] for r in got.collect()} == want
     assert "collect_list(struct" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_pairs_are_found_once(spark):
+    """Those who apply pairs read them three times, so they come as one written table, not as all the steps that found them."""
+    keys = lambda *k: spark.createDataFrame([(x,) for x in k], "k string")
+    pairs = R.rename_pairs(keys("ABC-1234567", "ABC-1234568"), keys("ABC12345678", "ABC1234568R"))  # in two rounds
+    assert pairs.count() == 2
+    revision = lambda p: spark.createDataFrame([(f"{p}{k}", k) for k in range(5)], "mpn string, line long")
+    folded = D.fold_aliases(D.diff(revision("a"), revision("b")), spark.createDataFrame([("A1", "x"), ("B3", "x")], "mpn string, canon string"))
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan(pairs) and "Window" not in plan(folded)
+
+
+def test_figures_read_the_diff_once(spark):
+    got = QUERIES["diff_figures"](spark, "/root/testdata/sf0.001")
+    assert got.first()["mpn_renamed_count"] > 0 and got._jdf.queryExecution().optimizedPlan().toString().count("FullOuter") == 0
