@@ -13,7 +13,7 @@ def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["anchored_words"])
+@pytest.mark.parametrize("name", ["anchored_words", "best_table_pages"])
 def test_words_are_dealt_with_their_texts_only(spark, name):
     found = plan(entry.queries()[name](spark, "/root/testdata/sf0.001"))
     assert "REPARTITION_BY_NUM" in found and "ENSURE_REQUIREMENTS" not in found
