@@ -3,6 +3,7 @@
 Rounds of large and small stars (Kiveris et al., "Connected Components in MapReduce and Beyond", SoCC 2014):
 each points nodes at smaller nodes nearby until every component is a star around its least node.  Minima are
 aggregated before the shuffle and joined back, so no node's neighbours are gathered; each round is written.
+Joins are merge joins, as links are few bytes as files, but many times that if the driver broadcasts them.
 """
 
 from __future__ import annotations
@@ -29,9 +30,9 @@ def components(links: DataFrame, written: Written | None = None, rounds: int = 6
         last = sign
         both = now.union(now.select("v", "u"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.where("v > u").join(low.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low).distinct()
+        small = large.join(low.hint("merge"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low).distinct()
         now = written.table(small, f"links{k}")
         written.drop(f"links{k - 1}")
     raise RuntimeError("components did not settle")

@@ -103,10 +103,11 @@ def _promote(rows: DataFrame, pairs: DataFrame, alias: bool) -> DataFrame:
     old_cells, new_cells = ([F.col(f"{x}.{s}_{f}") for f in (*CELLS, "line")] for s, x in (("old", "o"), ("new", "n")))
     o, n = rows.where("status = 'removed'").alias("o"), rows.where("status = 'new'").alias("n")
     flags = [(_form(f, F.col(f"o.old_{f}")) != _form(f, F.col(f"n.new_{f}"))).alias(f"{f}_changed") for f in FIELDS]
-    made = pairs.alias("p").join(o, F.expr("p.old_k = o.k")).join(n, F.expr("p.new_k = n.k"))
+    # pairs are few bytes as files, but may be too many for the driver to broadcast
+    made = pairs.alias("p").join(o.hint("merge"), F.expr("p.old_k = o.k")).join(n.hint("merge"), F.expr("p.new_k = n.k"))
     made = made.select(F.col("o.k").alias("k"), F.lit("modified").alias("status"), *old_cells, *new_cells, *flags, F.lit(True).alias("mpn_changed"), F.lit(alias).alias("alias_match"))
     gone = pairs.select(F.lit("removed").alias("status"), F.col("old_k").alias("k")).union(pairs.select(F.lit("new"), "new_k"))
-    return rows.join(gone, ["status", "k"], "left_anti").select(*rows.columns).unionByName(made)
+    return rows.join(gone.hint("merge"), ["status", "k"], "left_anti").select(*rows.columns).unionByName(made)
 
 
 def apply_renames(rows: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -125,10 +126,10 @@ def fold_aliases(rows: DataFrame, aliases: DataFrame) -> DataFrame:
 
     def side(status: str, name: str) -> DataFrame:
         part = F.upper(C.strip(F.coalesce(F.col(f"{name}_mpn"), F.lit(""))))
-        x = rows.where(F.col("status") == status).select("k", F.col(f"{name}_line").alias("line"), part.alias("mpn")).join(aliases.select("mpn", "canon"), "mpn")
+        x = rows.where(F.col("status") == status).select("k", F.col(f"{name}_line").alias("line"), part.alias("mpn")).join(aliases.select("mpn", "canon").hint("merge"), "mpn")
         return numbered(x, ["canon"], ["line", "k"], "place").select("canon", F.col("k").alias(f"{name}_k"), "place")
 
-    pairs = side("removed", "old").join(side("new", "new"), ["canon", "place"]).select("old_k", "new_k")
+    pairs = side("removed", "old").join(side("new", "new").hint("merge"), ["canon", "place"]).select("old_k", "new_k")
     return _promote(rows, written.table(pairs, "pairs"), True)
 
 

@@ -5,6 +5,8 @@ import itertools
 import pytest
 
 from partweave.functions import similarity as S
+from partweave.operators import components as G
+from partweave.operators import diff as D
 from partweave.operators import rename as R
 from partweave.written import Written
 
@@ -25,6 +27,15 @@ def test_candidates_are_not_broadcast(spark, threshold):
     assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()  # as it was run
 
 
+def test_pairs_and_aliases_are_not_broadcast(spark):
+    revision = lambda p: spark.createDataFrame([(f"{p}{k}", k) for k in range(5)], "mpn string, line long")
+    rows, pairs = D.diff(revision("a"), revision("b")), spark.createDataFrame([("A1", "B2")], "old_k string, new_k string")
+    got = D.apply_renames(rows, Written(spark).table(pairs, "p"))
+    got.collect()
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    assert {r["node"]: r["component"] for r in G.components(pairs.toDF("a", "b")).collect()} == {"A1": "A1", "B2": "A1"}
+
+
 def test_chains_settle_in_few_rounds(spark, monkeypatch):
     """Each part but the first has its second best in common with the part before, which no one else wants."""
     names = []
